@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .mixing import mix
+from .sharding import shard
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -37,3 +39,51 @@ LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdef
 )
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+WORDS_SQL = r"len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))"
+
+
+@_query(
+    "op7_mix_sources",
+    f"""
+    WITH d AS (SELECT doc_id, source, {WORDS_SQL}::BIGINT AS size, md5(concat('mix:', coalesce(doc_id::VARCHAR, ''))) AS key FROM documents),
+    s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+    r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM s),
+    w AS (SELECT *, [3.0, 1.0, 2.0][i % 3 + 1]::DOUBLE AS w, source_size * 2 AS cap FROM r),
+    l AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5 - coalesce(sum(cap) OVER b, 0)::DOUBLE)
+                    / (sum(w) OVER () - coalesce(sum(w) OVER b, 0.0)) AS level
+          FROM w WINDOW b AS (ORDER BY cap / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    t AS (SELECT source, source_size, least(cap::DOUBLE, max(level) OVER () * w) AS target FROM l),
+    q AS (SELECT d.doc_id, d.size, t.source_size, t.target,
+                 (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key))::DOUBLE AS before
+          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+    v AS (SELECT *, CASE WHEN target > 0 THEN before / target END AS v1,
+                 CASE WHEN target > 0 THEN (source_size + before) / target END AS v2 FROM q),
+    c AS (SELECT v1 AS v, size FROM v WHERE size > 0 UNION ALL SELECT v2, size FROM v WHERE size > 0),
+    g AS (SELECT v, sum(size) OVER (ORDER BY v) AS spent FROM c),
+    e AS (SELECT coalesce(max(v), -1) AS last FROM g WHERE spent <= (SELECT sum(target) FROM t))
+    SELECT doc_id, size, source_size, target,
+           (size * ((coalesce(v1 <= last, false))::BIGINT + (coalesce(v2 <= last, false))::BIGINT))::BIGINT AS taken
+    FROM v, e
+    """,
+)
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
+@_query(
+    "op10_shard",
+    """
+    WITH d AS (SELECT doc_id, (strlen(coalesce(text, '')) + 8)::BIGINT AS size, coalesce(text, '') AS body,
+                      concat(md5(coalesce(text, '')), md5(coalesce(doc_id::VARCHAR, ''))) AS key FROM documents),
+    o AS (SELECT *, sum(size) OVER (ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) AS upto,
+                 row_number() OVER (ORDER BY key, doc_id) AS rank, sum(size) OVER () AS total FROM d),
+    p AS (SELECT *, ((2 * upto - size) * 24 // (2 * total))::INTEGER AS shard FROM o),
+    bits AS (SELECT unnest(range(256)) AS b),
+    r AS (SELECT doc_id, size, shard, rank - min(rank) OVER (PARTITION BY shard) AS slot FROM p)
+    SELECT doc_id, size, shard, slot::BIGINT AS slot, 'bytes' AS law, NULL::INTEGER AS grown_shard FROM r
+    """,
+)
+def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"))
