@@ -75,14 +75,20 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(
     "op10_shard",
     """
-    WITH d AS (SELECT doc_id, (strlen(coalesce(text, '')) + 8)::BIGINT AS size, coalesce(text, '') AS body,
-                      concat(md5(coalesce(text, '')), md5(coalesce(doc_id::VARCHAR, ''))) AS key FROM documents),
+    WITH RECURSIVE bits AS (
+        SELECT b::BIGINT AS b, b::BIGINT AS v, 0 AS k FROM range(256) t(b) UNION ALL
+        SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+    crc AS (SELECT list(v ORDER BY b) AS t FROM bits WHERE k = 8),
+    d AS (SELECT doc_id, (strlen(coalesce(text, '')) + 8)::BIGINT AS size,
+                 list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda p: ('0x' || p)::BIGINT) AS bytes,
+                 concat(md5(coalesce(text, '')), md5(coalesce(doc_id::VARCHAR, ''))) AS key FROM documents),
+    c AS (SELECT d.* EXCLUDE (bytes), xor(list_reduce(bytes, lambda a, y: xor(a >> 8, t[(xor(a, y) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS text_crc32
+          FROM d, crc),
     o AS (SELECT *, sum(size) OVER (ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) AS upto,
-                 row_number() OVER (ORDER BY key, doc_id) AS rank, sum(size) OVER () AS total FROM d),
-    p AS (SELECT *, ((2 * upto - size) * 24 // (2 * total))::INTEGER AS shard FROM o),
-    bits AS (SELECT unnest(range(256)) AS b),
-    r AS (SELECT doc_id, size, shard, rank - min(rank) OVER (PARTITION BY shard) AS slot FROM p)
-    SELECT doc_id, size, shard, slot::BIGINT AS slot, 'bytes' AS law, NULL::INTEGER AS grown_shard FROM r
+                 row_number() OVER (ORDER BY key, doc_id) AS rank, sum(size) OVER () AS total FROM c),
+    p AS (SELECT *, ((2 * upto - size) * 24 // (2 * total))::INTEGER AS shard FROM o)
+    SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+           (rank - min(rank) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM p
     """,
 )
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
