@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import mix
+from .quality import em_sql, judge_quality
 from .sharding import shard
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +94,22 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
+
+
+FEATURES_SQL = r"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+                      list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+    g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d),
+    k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS times FROM g),
+    c AS (SELECT doc_id, count(DISTINCT pos)::BIGINT AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS pos FROM k WHERE times > 1) GROUP BY 1)
+    SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+           length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+           (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+           len(lines)::BIGINT AS n_lines
+    FROM d LEFT JOIN c USING (doc_id)
+"""
+
+
+@_query("op1_quality_rules", em_sql(FEATURES_SQL))
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(table(spark, sf_dir, "documents"))
