@@ -11,6 +11,8 @@ from .exact_dedup import exact_dedup
 from .mixing import mix
 from .quality import em_sql, judge_quality
 from .sharding import shard
+from .token_counts import MODEL, token_counts
+from .url_filter import filter_urls, labelled_by_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -113,3 +115,16 @@ FEATURES_SQL = r"""
 @_query("op1_quality_rules", em_sql(FEATURES_SQL))
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"))
+
+
+@_query("op2_token_counts")
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL))
+
+
+@_query("op5_url_filter")
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return filter_urls(pages, labelled_by_rules(pages))
