@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .mixing import mix
 from .quality import em_sql, judge_quality
 from .sharding import shard
+from .simhash import simhash_groups
 from .token_counts import MODEL, token_counts
 from .url_filter import filter_urls, labelled_by_rules
 
@@ -128,3 +129,8 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return filter_urls(pages, labelled_by_rules(pages))
+
+
+@_query("op9_simhash_near_dedup")
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"))
