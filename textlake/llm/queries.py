@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import mix
+from . import pieces as sentence_pieces
 from .quality import em_sql, judge_quality
 from .sharding import shard
 from .simhash import simhash_groups
@@ -131,6 +133,14 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, labelled_by_rules(pages))
 
 
+@_query("op8_sentencepiece_nbest")
+def op8_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return sentence_pieces.encode_documents(docs, public_tokenizers.path(sentence_pieces.MODEL)).select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), "score", "nbest_scores", "round_trip")
+
+
 @_query("op9_simhash_near_dedup")
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
