@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .lm import score_documents
 from .mixing import mix
 from . import pieces as sentence_pieces
 from .quality import em_sql, judge_quality
@@ -133,6 +134,11 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, labelled_by_rules(pages))
 
 
+@_query("op6_lm_scoring")
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 @_query("op8_sentencepiece_nbest")
 def op8_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
