@@ -15,6 +15,9 @@ SPACE_RE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Has Spark delete the shuffle files of a query when the query has ended.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -37,9 +40,26 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textlake/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    schema, was = df.schema, spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if was is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, was)
+    out = spark.read.schema(schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def drop_table(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote and that nothing to come reads: their successors are written."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.cut_path)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:

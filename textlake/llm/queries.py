@@ -15,6 +15,7 @@ from . import pieces as sentence_pieces
 from .quality import em_sql, judge_quality
 from .sharding import shard
 from .simhash import simhash_groups
+from .suffix_dedup import repeat_digest
 from .token_counts import MODEL, token_counts
 from .url_filter import filter_urls, labelled_by_rules
 
@@ -128,6 +129,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL))
 
 
+@_query("op4_suffix_dedup")
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digest(table(spark, sf_dir, "documents"))
+
+
 @_query("op5_url_filter")
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
