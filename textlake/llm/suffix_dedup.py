@@ -115,7 +115,7 @@ class Chunk:
         sizes = self.ends - self.begins
         most = int(sizes.max(initial=0))
         cover = (np.arange(0, most + self.v, self.v)[:, None] + np.array(sorted(COVERS[self.v]))).reshape(-1)
-        counts = np.searchsorted(cover, sizes - (self.length - self.v), "right")  # a sample's string ends inside its document
+        counts = np.searchsorted(cover, sizes - (self.length - self.v + 1), "right")  # a sample's string ends inside its document
         counts[sizes < self.length] = 0
         return np.concatenate([np.empty(0, np.int64), *[cover[:n] + b for n, b in zip(counts.tolist(), self.begins.tolist(), strict=True) if n]])
 
