@@ -35,7 +35,7 @@ COVERS: dict[int, tuple[int, ...]] = {
     57: (0, 1, 3, 13, 32, 36, 43, 52), 73: (1, 2, 4, 8, 16, 32, 37, 55, 64),
 }
 #: Bytes of text in a chunk; positions named at once; names in a bucket, about; bits of a sample's rank past those that count them.
-CHUNK, SEGMENT, BUCKET_NAMES, SPARE_BITS = 16 << 20, 1 << 18, 2_000_000, 10
+CHUNK, SEGMENT, BUCKET_NAMES, SPARE_BITS = 4 << 20, 1 << 18, 2_000_000, 10
 BASE = 0x9E3779B97F4A7C15
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -99,9 +99,13 @@ def unsqueezed(raw: bytes) -> bytes:
 
 
 def covered(n: int, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Which of ``n`` places lie in one of the intervals, ends excluded."""
-    step = np.bincount(begins, minlength=n + 1) - np.bincount(ends, minlength=n + 1)
-    return np.cumsum(step[:n], dtype=np.int32) > 0
+    """Which of ``n`` places lie in one of the intervals, ends excluded; both bounds ascend."""
+    step = np.zeros(n + 1, np.int8)
+    if len(begins):
+        apart = begins[1:] > ends[:-1]
+        step[begins[np.concatenate([[True], apart])]] = 1
+        step[ends[np.concatenate([apart, [True]])]] = -1
+    return np.cumsum(step[:n], dtype=np.int8).astype(bool)
 
 
 class Chunk:
