@@ -139,20 +139,20 @@ def _by_terms(f) -> Callable[[Column], Column]:
 def hyphens(tokens: Column) -> Column:
     """A hyphenated word becomes the word without hyphens and, from the same position on, its parts."""
 
-    def split(t: Column) -> Column:
-        parts = F.split(t["term"], "-")
-        both = F.concat(F.array(F.translate(t["term"], "-", "")), parts)
-        some = F.transform(both, lambda x, i: F.struct(x.alias("term"), F.greatest(i - 1, F.lit(0)).alias("more")))
-        whole = F.array(F.struct(t["term"].alias("term"), F.lit(0).alias("more")))
-        return F.struct(t["pos"].alias("pos"), F.when(F.regexp_like(t["term"], F.lit(r"^\p{L}+(-\p{L}+)+$")), some).otherwise(whole).alias("parts"))
-
-    # Parts push what follows along: each token's shift is the number of parts past the first before it.
-    def add(acc: Column, t: Column) -> Column:
-        placed = F.transform(t["parts"], lambda p: F.struct(p["term"].alias("term"), (t["pos"] + acc["shift"] + p["more"]).alias("pos")))
-        return F.struct(F.concat(acc["out"], placed).alias("out"), (acc["shift"] + F.greatest(F.size(t["parts"]) - 2, F.lit(0))).alias("shift"))
-
-    start = F.struct(F.array().cast(TOKENS).alias("out"), F.lit(0).alias("shift"))
-    return F.aggregate(F.transform(tokens, split), start, add, lambda acc: acc["out"])
+    compound = lambda t: F.regexp_like(t["term"], F.lit(r"^\p{L}+(-\p{L}+)+$"))
+
+    def split(t: Column, shift: Column) -> Column:
+        both = F.concat(F.array(F.translate(t["term"], "-", "")), F.split(t["term"], "-"))
+        some = F.transform(both, lambda x, i: F.struct(x.alias("term"), (t["pos"] + shift + F.greatest(i - 1, F.lit(0))).alias("pos")))
+        return F.when(compound(t), some).otherwise(F.array(F.struct(t["term"].alias("term"), (t["pos"] + shift).alias("pos"))))
+
+    # Parts push what follows along: a token's shift is the number of hyphens in the compounds before it.
+    def shifted(x: Column) -> Column:
+        before = lambda t: F.aggregate(x["long"], F.lit(0), lambda n, c: n + F.when(c["pos"] < t["pos"], F.length(c["term"]) - F.length(F.translate(c["term"], "-", ""))).otherwise(0))
+        return F.flatten(F.transform(x["all"], lambda t: split(t, before(t))))
+
+    both = F.array(F.struct(tokens.alias("all"), F.filter(tokens, compound).alias("long")))  # no Python inside a lambda
+    return F.element_at(F.transform(both, shifted), 1)
 
 
 def stem(tokens: Column) -> Column:
