@@ -82,14 +82,14 @@ def leaf_sql(freq: str, idf_terms: list[str] | str, extra: str = "") -> str:
     return f"""WITH {base()}, {extra}
     i AS (SELECT sum(ln(n / (coalesce(df, 0) + 1.0)) + 1) AS idf FROM {wanted} LEFT JOIN df ON df.term = v.term, total),
     f AS ({freq})
-    SELECT doc_id, round(sqrt(freq) * idf * norm, 6) AS score FROM f JOIN norm USING (doc_id), i"""
+    SELECT doc_id, round(sqrt(freq) * abs(idf) * norm, 6) AS score FROM f JOIN norm USING (doc_id), i"""
 
 
 def multi_sql(terms: str) -> str:
     """Hits of a multi-term; ``terms`` is a query of term, b."""
     return f"""WITH {base()}, x AS MATERIALIZED ({terms}),
     i AS (SELECT ln(n / (coalesce((SELECT sum(df) FROM df JOIN x ON df.term = x.term), 0) + 1.0)) + 1 AS idf FROM total)
-    SELECT doc_id, round(sum(sqrt(tf) * b) * idf * any_value(norm), 6) AS score FROM post JOIN x USING (term) JOIN norm USING (doc_id), i GROUP BY doc_id, idf"""
+    SELECT doc_id, round(sum(sqrt(tf) * b) * abs(idf) * any_value(norm), 6) AS score FROM post JOIN x USING (term) JOIN norm USING (doc_id), i GROUP BY doc_id, idf"""
 
 
 # ---- dictionary and postings

@@ -195,7 +195,7 @@ def tokens_of(docs: DataFrame, spec: IndexSpec, analyzer: PerField) -> DataFrame
             continue
         own: Analyzer = analyzer.of(name) if how.tokenized else UNTOKENIZED
         if docs.schema[name].dataType.simpleString().startswith("array"):
-            last = lambda acc: F.coalesce(F.element_at(acc, -1)["pos"] + 1, F.lit(0))
+            last = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1))["pos"] + 1, F.lit(0))
             shift = lambda acc, t: F.concat(acc, F.transform(t, lambda x: F.struct(x["term"].alias("term"), (x["pos"] + last(acc)).alias("pos"))))
             start = F.array().cast("array<struct<term:string,pos:int>>")
             tokens = F.aggregate(F.transform(F.col(name), lambda v: own(v)), start, shift)
