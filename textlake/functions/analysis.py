@@ -24,7 +24,7 @@ MOST_BYTES = 255
 
 
 def _placed(terms: Column) -> Column:
-    return F.transform(terms, lambda t, i: F.struct(F.substring(t, 1, MOST_BYTES).alias("term"), i.alias("pos")))
+    return F.transform(terms, lambda t, i: F.struct(F.when(F.length(t) > MOST_BYTES, F.substring(t, 1, MOST_BYTES)).otherwise(t).alias("term"), i.alias("pos")))
 
 
 def _text(text: Column) -> Column:

@@ -29,7 +29,7 @@ def documents(spark: SparkSession, d: str) -> SearchIndex:
     """The index of ``documents``: text by letters in lower case, lang and source as they are."""
     plain = FieldSpec(tokenized=False)
     spec = IndexSpec({"lang": plain, "source": plain, "n_chars": FieldSpec(index=False)})
-    return stored_index(spark, d, "documents", lambda: build(table(spark, d, "documents"), spec, A.PerField(A.LETTERS)))
+    return stored_index(spark, d, "documents", lambda scratch: build(table(spark, d, "documents"), spec, A.PerField(A.LETTERS), scratch=scratch))
 
 
 def orders(spark: SparkSession, d: str) -> SearchIndex:
@@ -37,7 +37,7 @@ def orders(spark: SparkSession, d: str) -> SearchIndex:
     rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), lex.date_lex(F.col("o_orderdate")).alias("day"), F.col("o_totalprice").cast("string").alias("price"), F.col("o_orderpriority").alias("priority"), F.col("o_custkey").alias("customer"))
     plain = FieldSpec(tokenized=False)
     spec = IndexSpec({c: plain for c in ("day", "price", "priority", "customer")})
-    return stored_index(spark, d, "orders", lambda: build(rows, spec, A.PerField(A.UNTOKENIZED)))
+    return stored_index(spark, d, "orders", lambda scratch: build(rows, spec, A.PerField(A.UNTOKENIZED), scratch=scratch))
 
 
 def rounded(hits: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ statistics of row groups.
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -162,7 +162,8 @@ class SearchIndex:
     def save(self, path: str) -> SearchIndex:
         """Write all tables under ``path`` and return the stored index."""
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        self.postings.repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))  # said outright, so that few bytes are still sorted by all cores
+        self.postings.repartitionByRange(parts, "field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         for name in ("terms", "lengths", "deletes"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
         spec = self.spark.createDataFrame([(self.spec.to_json(),)], "spec string")
@@ -207,27 +208,48 @@ def tokens_of(docs: DataFrame, spec: IndexSpec, analyzer: PerField) -> DataFrame
     return _union(frames)
 
 
-def build(docs: DataFrame, spec: IndexSpec | None = None, analyzer: PerField | None = None, similarity: Similarity | None = None) -> SearchIndex:
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` worked out once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def grouped_tokens(tokens: Column) -> Column:
+    """An array of ``term, positions`` of an array of tokens, in order of terms: sorted and cut where the term changes."""
+    term = lambda s, i: F.get(s, i)["term"]
+    begins = lambda s: F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (term(s, i - 1) != x["term"]), i)), lambda i: i.isNotNull())
+
+    def runs(s: Column) -> Column:
+        return let(begins(s), lambda at: F.transform(at, lambda b, k: F.struct(term(s, b).alias("term"), F.slice(s, b + 1, F.coalesce(F.get(at, k + 1), F.size(s)) - b)["pos"].alias("positions"))))
+
+    return let(F.sort_array(F.transform(tokens, lambda t: F.struct(t["term"].alias("term"), t["pos"].alias("pos")))), runs)
+
+
+def build(docs: DataFrame, spec: IndexSpec | None = None, analyzer: PerField | None = None, similarity: Similarity | None = None, scratch: str | None = None) -> SearchIndex:
     """Index ``docs``: ``doc_id``, an optional ``doc_boost``, and fields.
 
-    Counting positions is one aggregate inside each document, without a shuffle of tokens: a document's tokens are grouped in
-    its own row, so only finished postings move.
+    A document's tokens are sorted and grouped in its own row, so making postings moves nothing. With ``scratch``,
+    a folder, the inverted documents are written there, and all tables derive from what was written instead
+    of analysing the texts once for each table.
     """
     spec, analyzer, similarity = spec or IndexSpec({}), analyzer or PerField(LETTERS), similarity or Similarity()
-    found = tokens_of(docs, spec, analyzer).withColumn("len", F.size("tokens")).filter("len > 0")
+    counted = let(F.col("tokens"), lambda t: F.struct(F.size(t).alias("len"), grouped_tokens(t).alias("entries")))  # tokens are worked out once
+    found = tokens_of(docs, spec, analyzer).select("doc_id", "field", "boost", counted.alias("x")).select("doc_id", "field", "boost", "x.len", "x.entries")
     boost = F.lit(1.0)
     for name in docs.columns:
         if spec.of(name).boost != 1.0:
             boost = F.when(F.col("field") == name, F.lit(spec.of(name).boost)).otherwise(boost)
-    norm = decoded_norm(similarity.length_norm(F.col("len")) * boost * F.col("boost"))
+    norm = decoded_norm(similarity.length_norm(F.greatest(F.col("len"), F.lit(1))) * boost * F.col("boost"))
     bare = [name for name in docs.columns if not spec.of(name).norms]
     norm = F.when(F.col("field").isin(bare), F.lit(0.0)).otherwise(norm) if bare else norm
-    found = found.withColumn("norm", norm)
-    each = found.select("doc_id", "field", "norm", F.explode("tokens").alias("t")).select("doc_id", "field", "norm", "t.term", "t.pos")
-    postings = each.groupBy("field", "term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.first("norm").alias("norm"))
+    inverted = found.select("doc_id", "field", F.col("len").cast("long").alias("len"), norm.alias("norm"), "entries")
+    if scratch is not None:
+        inverted.write.mode("overwrite").parquet(scratch)
+        inverted = docs.sparkSession.read.parquet(scratch)
+    inverted = inverted.filter("len > 0")
+    each = inverted.select("doc_id", "field", "norm", F.explode("entries").alias("e"))
+    postings = each.select("field", F.col("e.term").alias("term"), "doc_id", F.size("e.positions").cast("long").alias("tf"), F.col("e.positions").alias("positions"), "norm")
     stored = docs.select("doc_id", *[c for c in docs.columns if c not in ("doc_id", "doc_boost") and spec.of(c).store])
-    deletes = docs.select("doc_id").limit(0)
-    return SearchIndex(spec, analyzer, stored, postings, _dictionary(postings), found.select("doc_id", "field", F.col("len").cast("long").alias("len"), "norm"), deletes)
+    return SearchIndex(spec, analyzer, stored, postings, _dictionary(postings), inverted.select("doc_id", "field", "len", "norm"), docs.select("doc_id").limit(0))
 
 
 def from_records(spark: SparkSession, records: list, schema: str | None = None, input_field: str = "content") -> DataFrame:

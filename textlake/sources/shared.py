@@ -20,11 +20,11 @@ def shared_folder(spark: SparkSession) -> str:
     return named or _own.setdefault(app, tempfile.mkdtemp(prefix="textlake-"))
 
 
-def stored_index(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], SearchIndex]) -> SearchIndex:
-    """An index that is built once for a session and a folder of tables, then read."""
+def stored_index(spark: SparkSession, sf_dir: str, name: str, make: Callable[[str], SearchIndex]) -> SearchIndex:
+    """An index that is built once for a session and a folder of tables, then read; ``make`` gets a scratch folder."""
     app = spark.sparkContext.applicationId
     key = (app, sf_dir, name)
     if key not in _stored:
         folder = f"{shared_folder(spark)}/textlake/{app}/index-{name}-{len(_stored)}"
-        _stored[key] = make().save(folder)
+        _stored[key] = make(f"{folder}/inverted").save(folder)
     return _stored[key]

@@ -20,7 +20,7 @@ class SegmentedIndex:
     analyzer: PerField
 
     def write_batch(self, rows: DataFrame, batch: int) -> None:
-        segment = build(rows, self.spec, self.analyzer)
+        segment = build(rows, self.spec, self.analyzer, scratch=f"{self.path}/inverted/segment={batch}")
         for name in TABLES:
             if name != "deletes":
                 getattr(segment, name).write.mode("overwrite").parquet(f"{self.path}/{name}/segment={batch}")
