@@ -260,13 +260,13 @@ def test_nbest_equals_all_segmentations():
 
 
 # ---- 9
-def brute_fingerprint(t):
+def brute_fingerprint(t, k=4):
     import xxhash
 
     w = words(lower(t))
     if not w:
         return 0
-    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), 42) for i in range(max(1, len(w) - 3))]
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + k]).encode(), 42) for i in range(max(1, len(w) - k + 1))]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
@@ -287,6 +287,8 @@ def test_simhash_groups_equal_brute_force(docs):
     least = {k: min((i for (i, _, _), x in zip(rows, label, strict=True) if x == k and i is not None), default=None) for k in label}
     want = Counter((i, f"{f:016x}", least[k]) for (i, _, _), f, k in zip(rows, fps, label, strict=True))
     assert Counter(tuple(r) for r in simhash.simhash_groups(docs).collect()) == want
+    label = brute_components([brute_fingerprint(t, 5) for _, t, _ in rows], 5)
+    least = {k: min((i for (i, _, _), x in zip(rows, label, strict=True) if x == k and i is not None), default=None) for k in label}
     stay = simhash.drop_near_copies(docs)
     assert stay.columns == docs.columns
     assert Counter(r.doc_id for r in stay.collect()) == Counter(set(least.values()))
@@ -296,13 +298,16 @@ def test_links_of_random_fingerprints(spark, monkeypatch):
     rng = np.random.default_rng(5)
     centres = rng.integers(0, 1 << 63, 40, np.uint64)
     fps = np.unique(np.concatenate([centres, *[centres ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, k, False))) for k in (1, 2, 3, 4, 5, 6)]]))
-    want = brute_components([int(x) for x in fps])
+    want, wide = (brute_components([int(x) for x in fps], d) for d in (4, 5))
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp bigint")
     for most in (4096, 0):  # 0: every key takes the way of the crowded ones
         monkeypatch.setattr(simhash, "MOST_PAIRS", most)
         root = {r.node: r.root for r in simhash.components(simhash.links(df)).collect()}
         got = [root.get(int(x), int(x)) for x in fps.view(np.int64)]
         assert all((got[i] == got[j]) == (want[i] == want[j]) for i in range(len(fps)) for j in range(i))
+    root = {r.node: r.root for r in simhash.components(simhash.links(df, 5)).collect()}
+    got = [root.get(int(x), int(x)) for x in fps.view(np.int64)]
+    assert all((got[i] == got[j]) == (wide[i] == wide[j]) for i in range(len(fps)) for j in range(i))
 
 
 def test_components_of_a_long_chain(spark):

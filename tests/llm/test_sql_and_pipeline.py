@@ -40,7 +40,7 @@ def test_pipeline_stages_do_what_their_operators_say(spark):
     said = [
         lambda d: ids(judge_quality(d).filter("kept")),
         lambda d: ids(exact_dedup(d).filter("kept")),
-        lambda d: Counter(r.component_id for r in simhash_groups(d).select("component_id").distinct().collect()),
+        lambda d: Counter(r.component_id for r in simhash_groups(d, shingle=5, distance=5).select("component_id").distinct().collect()),
         lambda d: Counter({r.doc_id: r.taken // r["size"] for r in mix(d).collect() if r.taken}),
         ids,
     ]

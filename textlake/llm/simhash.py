@@ -1,7 +1,7 @@
 """Near-duplicates by SimHash and multi-index hashing.
 
 A fingerprint has a bit where over half of the text's shingle hashes have it. To link fingerprints that differ
-in at most four bits, each is cut into three segments: of three segments one differs in at most one bit. The
+in at most four bits (or five), each is cut into three segments: of three segments one differs in at most one bit. The
 table holds every distinct fingerprint under each segment; a query enumerates the ball of radius one around
 its segment, fetches the table's matches and checks the whole distance. As the ball is walked from the
 fingerprint whose segment has the 0, each pair is met once for a segment.
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
+#: Words and differing bits by which ``drop_near_copies`` takes documents for near copies; a ball of radius one in three segments finds up to five bits.
+STAGE_SHINGLE, STAGE_DISTANCE = 5, 5
 #: First bit and width of each segment: one more than half the distance allows a ball of radius one.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 #: Candidate pairs of one segment value that a join may form; fingerprints in a block beyond that.
@@ -51,7 +53,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, fp`` (a signed 64-bit number) for each row of ``docs``."""
     import pyarrow as pa
 
@@ -59,7 +61,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
+            found = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
 
     return rows.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp bigint")
@@ -106,6 +108,9 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Links ``a, b`` of distinct fingerprints (column ``fp``) whose components are those of all links."""
     import pyarrow as pa
 
+    if distance >= 2 * len(SEGMENTS):
+        raise ValueError("balls of radius one find fewer than two differing bits a segment")
+
     keys = F.array(*[F.struct(F.lit(s).alias("s"), _segment(F.col("fp"), *seg).alias("k")) for s, seg in enumerate(SEGMENTS)])
     table = fps.select("fp", F.explode(keys).alias("x")).select(F.col("x.s").cast("tinyint").alias("s"), F.col("x.k").cast("int").alias("k"), "fp")
 
@@ -167,11 +172,11 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _grouped(docs: DataFrame, doc_id: str, text: str, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """``doc_id, fp, component_id`` for each row."""
-    rows = cut(fingerprints(docs, doc_id, text), "simhash-fingerprints")
+    rows = cut(fingerprints(docs, doc_id, text, shingle), "simhash-fingerprints")
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
-    found = components(links(classes.select("fp")))
+    found = components(links(classes.select("fp"), distance))
     # fingerprint -> smallest doc_id of its component, for fingerprints that have links
     named = found.join(classes, F.col("node") == F.col("fp")).select("root", "node", "first")
     least = named.groupBy("root").agg(F.min("first").alias("least")).withColumnRenamed("root", "r")
@@ -180,7 +185,7 @@ def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.join(resolved, F.col("fp") == F.col("cf")).select("doc_id", "fp", "component_id")
 
 
-def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, fingerprint`` (16 hex digits), ``component_id``.
 
     ``component_id`` is the smallest doc_id that links reach, its own included. A null text has no words; texts
@@ -189,16 +194,16 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     gives an empty result; other columns play no part.
     """
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return _grouped(docs, doc_id, text).select("doc_id", hexed, "component_id")
+    return _grouped(docs, doc_id, text, shingle, distance).select("doc_id", hexed, "component_id")
 
 
-def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = STAGE_SHINGLE, distance: int = STAGE_DISTANCE) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group of near-duplicates, with the columns of ``docs``.
 
     The one with the smallest doc_id stays; of rows that repeat it, one. Cases as in ``simhash_groups``.
     """
     id_key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    groups = _grouped(docs, doc_id, text)
+    groups = _grouped(docs, doc_id, text, shingle, distance)
     stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_key("doc_id").alias("stay_key")).distinct()
     rows = docs.select(F.struct("*").alias("row"), id_key(doc_id).alias("id_key"))
     return rows.join(stay, F.col("id_key") == F.col("stay_key")).dropDuplicates(["id_key"]).select("row.*")
