@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-#: The short English list, and the full one without its contractions' shorter forms.
+#: The short and the full English list.
 ENGLISH = """a an and are as at be but by for if in into is it no not of on or such that the their then there
 these they this to was with""".split()
 FULL_ENGLISH = """a about above after again against all am an and any are aren't as at be because been before being
