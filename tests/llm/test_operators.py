@@ -294,6 +294,15 @@ def test_simhash_groups_equal_brute_force(docs):
     assert Counter(r.doc_id for r in stay.collect()) == Counter(set(least.values()))
 
 
+def test_near_copies_without_ids_of_their_own(spark):
+    rows = [(i, prose(700 + k, 90), "src0") for k, i in enumerate([None, None, None, 5, 5, 5, 6])]
+    linked = [(None, rows[6][1], "src1"), (5, rows[3][1].upper(), "src1"), (None, rows[0][1], "src1")]
+    fps = [brute_fingerprint(t, 5) for _, t, _ in rows]
+    assert brute_components(fps, 5) == list(range(len(rows)))
+    stay = simhash.drop_near_copies(documents(spark, rows + linked).repartition(3)).collect()
+    assert Counter((r.doc_id, lower(r.text)) for r in stay) == Counter((i, t) for i, t, _ in rows)
+
+
 def test_links_of_random_fingerprints(spark, monkeypatch):
     rng = np.random.default_rng(5)
     centres = rng.integers(0, 1 << 63, 40, np.uint64)

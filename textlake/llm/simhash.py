@@ -172,8 +172,8 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def _grouped(docs: DataFrame, doc_id: str, text: str, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """``doc_id, fp, component_id`` for each row."""
+def _grouped(docs: DataFrame, doc_id: str, text: str, shingle: int = SHINGLE, distance: int = DISTANCE) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, fp`` for each row, and ``cf, component_id`` for each distinct fingerprint."""
     rows = cut(fingerprints(docs, doc_id, text, shingle), "simhash-fingerprints")
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
     found = components(links(classes.select("fp"), distance))
@@ -181,8 +181,7 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, shingle: int = SHINGLE, di
     named = found.join(classes, F.col("node") == F.col("fp")).select("root", "node", "first")
     least = named.groupBy("root").agg(F.min("first").alias("least")).withColumnRenamed("root", "r")
     reached = named.join(least, F.col("root") == F.col("r")).select(F.col("node").alias("n"), "least")
-    resolved = classes.join(reached, F.col("fp") == F.col("n"), "left").select(F.col("fp").alias("cf"), F.coalesce("least", "first").alias("component_id"))
-    return rows.join(resolved, F.col("fp") == F.col("cf")).select("doc_id", "fp", "component_id")
+    return rows, classes.join(reached, F.col("fp") == F.col("n"), "left").select(F.col("fp").alias("cf"), F.coalesce("least", "first").alias("component_id"))
 
 
 def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
@@ -194,16 +193,23 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     gives an empty result; other columns play no part.
     """
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return _grouped(docs, doc_id, text, shingle, distance).select("doc_id", hexed, "component_id")
+    rows, resolved = _grouped(docs, doc_id, text, shingle, distance)
+    return rows.join(resolved, F.col("fp") == F.col("cf")).select("doc_id", hexed, "component_id")
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = STAGE_SHINGLE, distance: int = STAGE_DISTANCE) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group of near-duplicates, with the columns of ``docs``.
 
-    The one with the smallest doc_id stays; of rows that repeat it, one. Cases as in ``simhash_groups``.
+    The one with the smallest doc_id stays, one without an id only where no row of the group has one; of several
+    with that doc_id, the one whose text has the smallest digest, and of rows equal in both, one. Groups share
+    nothing, whatever ids repeat in them. Other cases as in ``simhash_groups``.
     """
-    id_key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    groups = _grouped(docs, doc_id, text, shingle, distance)
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_key("doc_id").alias("stay_key")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), id_key(doc_id).alias("id_key"))
-    return rows.join(stay, F.col("id_key") == F.col("stay_key")).dropDuplicates(["id_key"]).select("row.*")
+    digest = F.md5(F.coalesce(F.col(text), F.lit("")))
+    named = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), digest.alias("digest"))
+    _, resolved = _grouped(docs.select(named.alias("named"), F.col(text).alias("text")), "named", "text", shingle, distance)
+    id_key = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))  # noqa: E731  keys of joins are never null
+    # Equal texts are in one group, so an id and a digest name one group at most.
+    stay = resolved.select(id_key(F.col("component_id.id")).alias("stay_id"), F.col("component_id.digest").alias("stay_digest"))
+    rows = docs.select(F.struct("*").alias("row"), id_key(F.col(doc_id)).alias("id_key"), digest.alias("digest"))
+    met = rows.join(stay.distinct(), (F.col("id_key") == F.col("stay_id")) & (F.col("digest") == F.col("stay_digest")))
+    return met.dropDuplicates(["id_key", "digest"]).select("row.*")
