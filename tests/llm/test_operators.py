@@ -237,6 +237,17 @@ def test_encoding_decodes_to_the_text(docs):
     assert back == Counter((i, t or "") for i, t, _ in texts())
 
 
+def test_ids_are_those_of_the_library(spark):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=P.path(pieces.MODEL))
+    odd = ["the", "hello world", "\n\nthe\n the  end \n", "  two  spaces ", "a▁b", "</s> <unk> <0x41>", "漢字🙂é\ttab", "\n", " ", "ﬁ ①\r\n"]
+    rows = texts() + [(100 + k, t, None) for k, t in enumerate(odd)]
+    got = pieces.encode_documents(documents(spark, rows).repartition(3), P.path(pieces.MODEL)).collect()
+    assert Counter((r.doc_id, tuple(r.ids)) for r in got) == Counter((i, tuple(library.encode(t or ""))) for i, t, _ in rows)
+    assert all(r.score <= r.nbest_scores[0] + 1e-6 for r in got)
+
+
 def test_nbest_equals_all_segmentations():
     model = pieces.pieces(P.path(pieces.MODEL))
 

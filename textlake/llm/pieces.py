@@ -7,6 +7,10 @@ search that uses them as its heuristic, which is exact, yields paths in order of
 No piece of the vocabulary goes on past the end of a word (that is checked), so the lattice of a text is a
 chain of the lattices of its words: ``n`` best segmentations of the text come from the ``n - 1`` words that
 lose least by their second best, and only those are searched past their best.
+
+A BPE model's scores are the ranks of its merges, and its encoding is what the merges lead to, which is
+mostly not the best path. Ids are therefore the library's own, word by word, as no merge goes on past
+the end of a word; the lattice gives the N-best list.
 """
 
 from __future__ import annotations
@@ -91,13 +95,61 @@ class Remembered(dict):
         return number
 
 
+class Merged(dict):
+    """Numbers of words (UTF-8, with spaces), whose ids are those that the library's encoder gives them."""
+
+    def __init__(self, model: Pieces):
+        super().__init__()
+        self.model, self.before = model, len(model.encoder.encode("\n"))
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.begins, self.sizes, self.ids, self.scores, self.exact = array("q"), array("q"), array("i"), array("d"), array("b")
+
+    def full(self) -> bool:
+        return len(self) > REMEMBERED or len(self.ids) > 16 * REMEMBERED
+
+    def learn(self, words: Iterable[bytes]) -> None:
+        """Encode words that are not known yet. A last character that no piece joins to the one before it is encoded on its own."""
+        spanned, ends, new = self.model.best.spanned, {}, set()
+        for w in words:
+            if w not in self:
+                text = w.decode("utf-8")
+                if len(text) > 1 and text[-2:].replace(" ", SPACE_MARK) not in spanned:
+                    ends[w] = head, last = text[:-1].encode(), text[-1].encode()
+                    new.update((head, last))
+                else:
+                    new.add(w)
+        raw, worth = self.model.raw, self.model.worth
+        new = [w for w in new if w not in self]  # each after a line end, so that the library puts no mark before it
+        for word, ids in zip(new, self.model.encoder.encode([b"\n" + w for w in new], num_threads=1), strict=True):
+            ids = ids[self.before :]
+            self.add(word, array("i", ids), sum([worth[i] for i in ids]), b"".join([raw[i] for i in ids]) == word)
+        for word, (head, last) in ends.items():
+            if word not in self:
+                i, j = self[head], self[last]
+                self.add(word, self.ids_of(i) + self.ids_of(j), self.scores[i] + self.scores[j], self.exact[i] and self.exact[j])
+
+    def ids_of(self, number: int) -> array:
+        return self.ids[self.begins[number] : self.begins[number] + self.sizes[number]]
+
+    def add(self, word: bytes, ids: array, score: float, exact: bool) -> None:
+        self[word] = len(self.sizes)
+        self.begins.append(len(self.ids))
+        self.sizes.append(len(ids))
+        self.ids.extend(ids)
+        self.scores.append(score)
+        self.exact.append(exact)
+
+
 class Pieces:
     """The vocabulary of a model file, its lattice and its decoder."""
 
     def __init__(self, path: str):
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        model = self.encoder = sentencepiece.SentencePieceProcessor(model_file=path)
         self.pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         ids = range(len(self.pieces))
         self.byte_ids = {int(self.pieces[i][3:5], 16): i for i in ids if model.is_byte(i)}
@@ -117,7 +169,9 @@ class Pieces:
             entry[:2] = i, model.get_score(i)
         byte_of = {i: bytes([b]) for b, i in self.byte_ids.items()}
         self.raw = [byte_of.get(i, self.pieces[i].replace(SPACE_MARK, " ").encode("utf-8")) for i in ids]
-        self.best = Remembered(self)
+        #: What a piece adds to a score; of a character's bytes the first has the character's.
+        self.worth = [(self.unknown if byte_of[i][0] & 0xC0 != 0x80 else 0.0) if i in byte_of else self.scores.get(self.pieces[i], 0.0) for i in ids]
+        self.best, self.merged = Remembered(self), Merged(self)
 
     def forward(self, word: str) -> tuple[list[float], list[list[tuple[int, float]]]]:
         """The best score to each place, and the edges that end there as (begin, score)."""
@@ -293,12 +347,12 @@ class Pieces:
         _, known = self._known(text)
         return self._gathered(known)[0].tolist()
 
-    def _gathered(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _gathered(self, known: np.ndarray, of: Remembered | Merged | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of numbered words end to end, and how many each has."""
-        best = self.best
-        sizes = np.frombuffer(best.sizes, np.int64)[known]
-        moved = np.repeat(np.frombuffer(best.begins, np.int64)[known] - (np.cumsum(sizes) - sizes), sizes)
-        return np.frombuffer(best.ids, np.int32)[moved + np.arange(len(moved))], sizes
+        of = self.best if of is None else of
+        sizes = np.frombuffer(of.sizes, np.int64)[known]
+        moved = np.repeat(np.frombuffer(of.begins, np.int64)[known] - (np.cumsum(sizes) - sizes), sizes)
+        return np.frombuffer(of.ids, np.int32)[moved + np.arange(len(moved))], sizes
 
     def _ways(self, words: list[str], known: np.ndarray, n: int) -> tuple[float, list[tuple[float, dict[int, tuple[int, ...]]]]]:
         """The best score, and of the ``n`` best segmentations what each loses to it and its ids where they differ, by word."""
@@ -325,43 +379,50 @@ class Pieces:
         return [([x for i, k in enumerate(best) for x in changed.get(i, k)], total - w) for w, changed in ways]
 
     def encode_many(self, texts: list[bytes], n: int = NBEST) -> tuple[np.ndarray, np.ndarray, list[list[float]], list[bool]]:
-        """Ids of the best segmentations of UTF-8 texts end to end and their ends; the scores of the ``n`` best; whether the ids decode to the text.
-
-        Words are found on bytes, and each distinct one is looked up once.
-        """
-        import pyarrow as pa
-
+        """Ids of the best segmentations of UTF-8 texts end to end and their ends; the scores of the ``n`` best; whether the ids decode to the text."""
+        split = _Split(texts)
+        if not split.words:
+            return np.empty(0, np.int32), np.zeros(len(texts), np.int64), [[0.0] for _ in texts], [True for _ in texts]
         if self.best.full():
             self.best.forget()
-        bodies = [b" " + t.replace(SPACE_MARK.encode(), b" ") if t else b"" for t in texts]
-        data = b"".join(bodies)
-        ends = np.cumsum([len(b) for b in bodies])
-        if not data:
-            return np.empty(0, np.int32), np.zeros(len(texts), np.int64), [[0.0] for _ in texts], [True for _ in texts]
-        letters = np.frombuffer(data, np.uint8)
-        space, line = letters == 32, letters == 10
-        first = np.empty(len(letters), bool)
-        first[1:] = (space[1:] & ~space[:-1]) | (line[1:] != line[:-1])
-        first[np.concatenate([[0], ends[ends < len(letters)]])] = True
-        at = np.flatnonzero(first)
-        cuts = pa.py_buffer(np.append(at, len(letters)).astype(np.int64).tobytes())
-        encoded = pa.Array.from_buffers(pa.large_binary(), len(at), [None, cuts, pa.py_buffer(data)]).dictionary_encode()
-        raw = encoded.dictionary.to_pylist()
-        words = [w.decode("utf-8").replace(" ", SPACE_MARK) for w in raw]
+        words = [w.decode("utf-8").replace(" ", SPACE_MARK) for w in split.words]
         self.best.learn(words)
         numbers = np.fromiter(map(self.best.__getitem__, words), np.int64, len(words))
-        exact = np.fromiter((self.best.raw[k] == w for k, w in zip(numbers.tolist(), raw, strict=True)), bool, len(words))
-        index = encoded.indices.to_numpy()
-        known, good = numbers[index], exact[index]
-        ids, sizes = self._gathered(known)
-        upto = np.concatenate([[0], np.cumsum(sizes)])
-        bounds = np.searchsorted(at, np.concatenate([[0], ends]))
-        scores, trips = [], []
-        for k, (i, j) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-            total, ways = self._ways(_Picked(words, index[i:j]), known[i:j], n)
-            scores.append([total - w for w, _ in ways])
-            trips.append(bool(good[i:j].all()) or self.decode(ids[upto[i] : upto[j]].tolist()) == bodies[k][1:].decode("utf-8"))
-        return ids, upto[bounds[1:]], scores, trips
+        exact = np.fromiter((self.best.raw[k] == w for k, w in zip(numbers.tolist(), split.words, strict=True)), bool, len(words))
+        ids, ends, trips = self._joined(split, numbers, exact, self.best)
+        return ids, ends, self._scores(split, words, numbers, n), trips
+
+    def merge_many(self, texts: list[bytes], n: int = NBEST) -> tuple[np.ndarray, np.ndarray, list[float], list[list[float]], list[bool]]:
+        """The library's ids of UTF-8 texts end to end, their ends and scores; the scores of the ``n`` best segmentations; whether the ids decode to the text."""
+        split, merged = _Split(texts), self.merged
+        if not split.words:
+            return np.empty(0, np.int32), np.zeros(len(texts), np.int64), [0.0] * len(texts), [[0.0] for _ in texts], [True] * len(texts)
+        if self.best.full():
+            self.best.forget()
+        if merged.full():
+            merged.forget()
+        words = [w.decode("utf-8").replace(" ", SPACE_MARK) for w in split.words]
+        self.best.learn(words)
+        best = np.fromiter(map(self.best.__getitem__, words), np.int64, len(words))
+        merged.learn(split.words)
+        numbers = np.fromiter(map(merged.__getitem__, split.words), np.int64, len(words))
+        ids, ends, trips = self._joined(split, numbers, np.array(merged.exact, bool)[numbers], merged)
+        worth = np.array(merged.scores)[numbers][split.index]
+        own = [float(worth[i:j].sum()) for i, j in split.spans]
+        return ids, ends, own, self._scores(split, words, best, n), trips
+
+    def _joined(self, split: _Split, numbers: np.ndarray, exact: np.ndarray, of: Remembered | Merged) -> tuple[np.ndarray, np.ndarray, list[bool]]:
+        ids, sizes = self._gathered(numbers[split.index], of)
+        upto, good = np.concatenate([[0], np.cumsum(sizes)]), exact[split.index]
+        trips = [bool(good[i:j].all()) or self.decode(ids[upto[i] : upto[j]].tolist()) == body[1:].decode("utf-8") for (i, j), body in zip(split.spans, split.bodies, strict=True)]
+        return ids, upto[[j for _, j in split.spans]], trips
+
+    def _scores(self, split: _Split, words: list[str], numbers: np.ndarray, n: int) -> list[list[float]]:
+        known, out = numbers[split.index], []
+        for i, j in split.spans:
+            total, ways = self._ways(_Picked(words, split.index[i:j]), known[i:j], n)
+            out.append([total - w for w, _ in ways])
+        return out
 
     @staticmethod
     def _shown(raw: bytes) -> str:
@@ -374,6 +435,32 @@ class Pieces:
         return self._shown(b"".join([raw[i] for i in ids]))
 
 
+class _Split:
+    """UTF-8 texts with a space before each (``bodies``), their distinct ``words``, the ``index`` of each word there, and the words' ``spans`` by text.
+
+    Words are found on bytes, and each distinct one is looked up once.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        import pyarrow as pa
+
+        self.bodies = [b" " + t.replace(SPACE_MARK.encode(), b" ") if t else b"" for t in texts]
+        data = b"".join(self.bodies)
+        ends = np.cumsum([len(b) for b in self.bodies], dtype=np.int64)
+        letters = np.frombuffer(data, np.uint8)
+        space, line = letters == 32, letters == 10
+        first = np.empty(len(letters), bool)
+        first[1:] = (space[1:] & ~space[:-1]) | (line[1:] != line[:-1])
+        starts = np.concatenate([np.zeros(1, np.int64), ends])
+        first[starts[starts < len(letters)]] = True
+        at = np.flatnonzero(first)
+        cuts = pa.py_buffer(np.append(at, len(letters)).astype(np.int64).tobytes())
+        encoded = pa.Array.from_buffers(pa.large_binary(), len(at), [None, cuts, pa.py_buffer(data)]).dictionary_encode()
+        self.words, self.index = encoded.dictionary.to_pylist(), encoded.indices.to_numpy()
+        bounds = np.searchsorted(at, starts).tolist()
+        self.spans = list(zip(bounds[:-1], bounds[1:], strict=True))
+
+
 class _Picked:
     """The words of a text, by their places in a list of distinct ones."""
 
@@ -392,7 +479,7 @@ def pieces(path: str) -> Pieces:
 def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", nbest: int = NBEST) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, ids, score, nbest_scores, round_trip``.
 
-    ``ids`` are those of the best segmentation; ``nbest_scores`` the scores of the ``nbest`` best ones of the
+    ``ids`` are those of the library's encoder and ``score`` is the sum of their scores; ``nbest_scores`` the scores of the ``nbest`` best ones of the
     whole text; ``round_trip`` says whether the ids decode to the text (a mark that the text itself holds
     decodes to a space, and then counts as one). A null text is empty, and an empty text has no ids, score 0
     and one segmentation. Repeated rows are encoded alike; a null doc_id is carried along; an empty table
@@ -407,10 +494,10 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
         for batch in batches:
             for at in range(0, len(batch), 256):  # ids of a few hundred texts at a time
                 part = batch.slice(at, 256)
-                flat, ends, found, trips = model.encode_many(part.column("text").cast(pa.binary()).to_pylist(), nbest)
+                flat, ends, own, found, trips = model.merge_many(part.column("text").cast(pa.binary()).to_pylist(), nbest)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
                 scores = pa.array([[round(s, 6) for s in f] for f in found], pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array([round(f[0], 6) for f in found]), scores, pa.array(trips)], ["doc_id", "ids", "score", "nbest_scores", "round_trip"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array([round(x, 6) for x in own]), scores, pa.array(trips)], ["doc_id", "ids", "score", "nbest_scores", "round_trip"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(work, f"doc_id {kind}, ids array<int>, score double, nbest_scores array<double>, round_trip boolean")
