@@ -1,17 +1,19 @@
 import hashlib
 import math
 import os
+import random
 import sys
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from frames import documents, empty, lower, prose, texts, words  # noqa: E402
 
-from textlake.llm import lm, pieces, quality, simhash, suffix_dedup, token_counts, url_filter  # noqa: E402
+from textlake.llm import lm, near, pieces, quality, simhash, suffix_dedup, token_counts, url_filter  # noqa: E402
 from textlake.llm.exact_dedup import build_index, drop_exact_copies, exact_dedup, keyed, split_directory  # noqa: E402
 from textlake.llm.mixing import mix, take_mix, targets  # noqa: E402
 from textlake.llm.sharding import shard  # noqa: E402
@@ -19,7 +21,7 @@ from textlake.llm.sharding import shard  # noqa: E402
 P = pytest.importorskip("public_tokenizers")
 EMPTY_OK = [
     quality.judge_quality, quality.keep_good, exact_dedup, drop_exact_copies, suffix_dedup.repeat_digest, lm.score_documents, mix, take_mix, simhash.simhash_groups,
-    simhash.drop_near_copies, shard, lambda d: token_counts.token_counts(d, P.path(token_counts.MODEL)), lambda d: pieces.encode_documents(d, P.path(pieces.MODEL)),
+    near.drop_near_copies, shard, lambda d: token_counts.token_counts(d, P.path(token_counts.MODEL)), lambda d: pieces.encode_documents(d, P.path(pieces.MODEL)),
 ]
 
 
@@ -298,22 +300,82 @@ def test_simhash_groups_equal_brute_force(docs):
     least = {k: min((i for (i, _, _), x in zip(rows, label, strict=True) if x == k and i is not None), default=None) for k in label}
     want = Counter((i, f"{f:016x}", least[k]) for (i, _, _), f, k in zip(rows, fps, label, strict=True))
     assert Counter(tuple(r) for r in simhash.simhash_groups(docs).collect()) == want
-    label = brute_components([brute_fingerprint(t, 5) for _, t, _ in rows], 5)
+
+
+def brute_wide(text: str | None) -> int:
+    """The 256 bits of a text's fingerprint, from its definition."""
+    w = [x.encode() for x in words(lower(text))]
+    grams = {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    mask, bits = (1 << 64) - 1, [0] * 256
+    for g in grams:
+        h = xxhash.xxh64_intdigest(g, 42)
+        for word in range(4):
+            x = (h + word * 0x9E3779B97F4A7C15) & mask
+            x = ((x ^ (x >> 31)) * 0xD6E8FEB86659FD93) & mask
+            x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & mask
+            for b in range(64):
+                bits[64 * word + b] += (x >> b) & 1
+    return sum(1 << i for i, n in enumerate(bits) if 2 * n > len(grams))
+
+
+def test_near_copies_equal_brute_force(docs):
+    rows = texts()
+    label = brute_components([brute_wide(t) for _, t, _ in rows], near.DISTANCE)
     least = {k: min((i for (i, _, _), x in zip(rows, label, strict=True) if x == k and i is not None), default=None) for k in label}
-    stay = simhash.drop_near_copies(docs)
+    stay = near.drop_near_copies(docs)
     assert stay.columns == docs.columns
-    assert Counter(r.doc_id for r in stay.collect()) == Counter(set(least.values()))
+    assert Counter(r.doc_id for r in stay.collect()) == Counter(least.values())
+    assert Counter(tuple(r) for r in near.drop_near_copies(docs, most_gone=0).collect()) == Counter(tuple(r) for r in stay.collect())
 
 
 def test_near_copies_without_ids_of_their_own(spark):
     rows = [(i, prose(700 + k, 90), "src0") for k, i in enumerate([None, None, None, 5, 5, 5, 6])]
     linked = [(None, rows[6][1], "src1"), (5, rows[3][1].upper(), "src1"), (None, rows[0][1], "src1")]
-    fps = [brute_fingerprint(t, 5) for _, t, _ in rows]
-    assert brute_components(fps, 5) == list(range(len(rows)))
-    stay = simhash.drop_near_copies(documents(spark, rows + linked).repartition(3)).collect()
+    stay = near.drop_near_copies(documents(spark, rows + linked).repartition(3)).collect()
     assert Counter((r.doc_id, lower(r.text)) for r in stay) == Counter((i, t) for i, t, _ in rows)
 
 
+def edited(text: str, seed: int, share: float) -> str:
+    """``text`` with so many of its words changed that its five-word shingles have about the similarity ``share``."""
+    rng, w = random.Random(seed), text.split()
+    grams = lambda x: {tuple(x[i : i + 5]) for i in range(len(x) - 4)}
+    own = grams(w)
+    for at in rng.sample(range(len(w)), len(w)):
+        new = [*w[:at], f"new{rng.random()}", *w[at + 1 :]]
+        if len(own & grams(new)) / len(own | grams(new)) < share:
+            break
+        w = new
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("share,least", [(0.8, 0.75), (0.85, 0.9), (0.9, 0.97)])
+def test_near_copies_of_a_stated_similarity_are_found(spark, share, least):
+    rows = [(k, prose(9000 + k, 120 + 3 * k), "src0") for k in range(100)]
+    copies = [(1000 + k, edited(t, k, share), "src1") for k, t, _ in rows]
+    kept = {r.doc_id for r in near.drop_near_copies(documents(spark, rows + copies)).select("doc_id").collect()}
+    assert {k for k, _, _ in rows} <= kept  # what is not a copy stays
+    assert sum(k + 1000 not in kept for k in range(100)) >= 100 * least
+
+
+@pytest.mark.parametrize("short,block", [(2, 4), (8, 1024)])
+def test_crowded_keys_lose_no_link(spark, monkeypatch, short, block):
+    """Long runs, far members and blocks: components equal those of all pairs that share a key."""
+    monkeypatch.setattr(near, "SHORT", short)
+    monkeypatch.setattr(near, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, (4, 4))
+    fps = np.array([base[k % 4] ^ np.array([sum(1 << int(b) for b in rng.choice(62, rng.integers(0, 14), False)) for _ in range(4)]) for k in range(60)])
+    keys = [[1 + k % 2, 100 + k % 3] for k in range(60)]
+    df = spark.createDataFrame([(k, *map(int, f), ks) for k, (f, ks) in enumerate(zip(fps, keys, strict=True))], "fid bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint, keys array<int>")
+    near_pairs = [(i, j) for i in range(60) for j in range(i) if set(keys[i]) & set(keys[j]) and sum((int(a) ^ int(b)).bit_count() for a, b in zip(fps[i], fps[j], strict=True)) <= near.DISTANCE]
+    label = list(range(60))
+    for i, j in near_pairs:
+        a, b = label[i], label[j]
+        label = [min(a, b) if x in (a, b) else x for x in label]
+    root = {r.node: r.root for r in simhash.components(near.wide_links(df)).collect()}
+    assert [root.get(k, k) for k in range(60)] == label and 1 < len(set(label)) < 60
+
+
 def test_links_of_random_fingerprints(spark, monkeypatch):
     rng = np.random.default_rng(5)
     centres = rng.integers(0, 1 << 63, 40, np.uint64)

@@ -20,32 +20,38 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop_table
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
-#: Words and differing bits by which ``drop_near_copies`` takes documents for near copies; a ball of radius one in three segments finds up to five bits.
-STAGE_SHINGLE, STAGE_DISTANCE = 5, 5
 #: First bit and width of each segment: one more than half the distance allows a ball of radius one.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 #: Candidate pairs of one segment value that a join may form; fingerprints in a block beyond that.
 MOST_PAIRS, BLOCK = 4096, 1024
+#: A key with more than one part in so many of a join's rows is sent to every task.
+HOT_KEYS = 2048
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The SimHash of a text's word shingles, repeats included; a text of fewer words is one shingle, one of none is 0."""
+def shingle_hashes(text: str | None, shingle: int, seed: int) -> list[int]:
+    """XXH64 of each shingle of a text's lower-cased words, repeats included; of fewer words, the whole; of none, nothing."""
     import xxhash
 
     words = (text or "").encode("utf-8").lower().split()  # on bytes: A-Z alone, white space of ASCII alone
     if not words:
-        return 0
+        return []
     joined, n = b" ".join(words), len(words)
+    digest = xxhash.xxh64_intdigest
     if n <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-        begins = np.concatenate([[0], ends[: n - shingle] + 1]).tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(begins, ends[shingle - 1 :].tolist(), strict=True)]
+        return [digest(joined, seed)]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    begins = np.concatenate([[0], ends[: n - shingle] + 1]).tolist()
+    return [digest(joined[a:b], seed) for a, b in zip(begins, ends[shingle - 1 :].tolist(), strict=True)]
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The SimHash of a text's word shingles, repeats included; a text of fewer words is one shingle, one of none is 0."""
+    hashes = shingle_hashes(text, shingle, SEED)
+    if not hashes:
+        return 0
     total = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):  # whole texts, in bounded pieces
         block = np.array(hashes[at : at + (1 << 16)], np.uint64)
@@ -144,6 +150,22 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return quiet.unionByName(crowded).distinct()
 
 
+def join_parts(rows: DataFrame, table: DataFrame, on: str | list[str], count: str, total: int) -> DataFrame:
+    """``rows``, ``total`` of them, joined with ``table``, whose ``count`` says how many of them each of its keys has.
+
+    Keys with more than a 2,048th of all rows, of which there are fewer than 2,048, go to every task and their rows stay
+    where they are; the other keys are shuffled, and none of them is hot. Keys are unique in ``table``.
+    """
+    on = [on] if isinstance(on, str) else on
+    keys = [f"_{c}" for c in on]
+    named = table.withColumnsRenamed(dict(zip(on, keys, strict=True)))
+    hot, cold = (named.filter(x) for x in (F.col(count) * HOT_KEYS > total, F.col(count) * HOT_KEYS <= total))
+    same = [F.col(c) == F.col(k) for c, k in zip(on, keys, strict=True)]
+    met = rows.join(F.broadcast(hot), same).drop(*keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), same, "left_anti").join(cold.hint("merge"), same).drop(*keys)
+    return met.unionByName(rest)
+
+
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """``node, root`` for every node of ``edges`` (``a, b``): the smallest node that it reaches.
 
@@ -152,36 +174,39 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """
     now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
 
-    def star(pairs: DataFrame) -> DataFrame:
+    def star(pairs: DataFrame, total: int) -> DataFrame:
         """Hook the neighbours ``v`` of each ``u`` to the smallest of them and ``u``."""
-        least = pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")).withColumnRenamed("u", "mu")
-        return pairs.join(least, F.col("u") == F.col("mu"))
+        least = pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("c"))
+        return join_parts(pairs, least, "u", "c", total).drop("c")
 
-    before = None
+    before, n = None, now.count()
+    if not n:
+        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(most_rounds):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = star(both).filter("v > u AND v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        small_in = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        starred = star(small_in)
+        large = cut(star(both, 2 * n).filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "links-large")
+        starred = star(large, 2 * n)
         small = starred.filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(starred.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
-        now = cut(small, "links")
+        past, now = now, cut(small, "links")
+        drop_table(past, large)
         mark = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 30)))).first())
         if mark == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
-        before = mark
+        before, n = mark, mark[0]
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
 def _grouped(docs: DataFrame, doc_id: str, text: str, shingle: int = SHINGLE, distance: int = DISTANCE) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, fp`` for each row, and ``cf, component_id`` for each distinct fingerprint."""
+    """``doc_id, fp`` for each row, and ``fp, n, component_id`` for each distinct fingerprint."""
     rows = cut(fingerprints(docs, doc_id, text, shingle), "simhash-fingerprints")
-    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
-    found = components(links(classes.select("fp"), distance))
+    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "simhash-classes")
+    found = cut(components(links(classes.select("fp"), distance)), "simhash-components")
     # fingerprint -> smallest doc_id of its component, for fingerprints that have links
-    named = found.join(classes, F.col("node") == F.col("fp")).select("root", "node", "first")
-    least = named.groupBy("root").agg(F.min("first").alias("least")).withColumnRenamed("root", "r")
-    reached = named.join(least, F.col("root") == F.col("r")).select(F.col("node").alias("n"), "least")
-    return rows, classes.join(reached, F.col("fp") == F.col("n"), "left").select(F.col("fp").alias("cf"), F.coalesce("least", "first").alias("component_id"))
+    named = found.join(classes.hint("merge"), F.col("node") == F.col("fp")).select("root", "node", "first")
+    least = named.groupBy("root").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("c"))
+    reached = join_parts(named, least, "root", "c", found.count()).select(F.col("node").alias("x"), "least")
+    resolved = classes.join(reached.hint("merge"), F.col("fp") == F.col("x"), "left").select("fp", "n", F.coalesce("least", "first").alias("component_id"))
+    return rows, cut(resolved, "simhash-resolved")
 
 
 def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
@@ -190,26 +215,8 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ``component_id`` is the smallest doc_id that links reach, its own included. A null text has no words; texts
     without words have fingerprint zero and are linked like any other. A null doc_id takes part, but is
     no component's smallest unless it has no other (then null). Repeated rows are one class; an empty table
-    gives an empty result; other columns play no part.
+    gives an empty result; very long texts are read whole, in pieces; other columns play no part.
     """
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     rows, resolved = _grouped(docs, doc_id, text, shingle, distance)
-    return rows.join(resolved, F.col("fp") == F.col("cf")).select("doc_id", hexed, "component_id")
-
-
-def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = STAGE_SHINGLE, distance: int = STAGE_DISTANCE) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each group of near-duplicates, with the columns of ``docs``.
-
-    The one with the smallest doc_id stays, one without an id only where no row of the group has one; of several
-    with that doc_id, the one whose text has the smallest digest, and of rows equal in both, one. Groups share
-    nothing, whatever ids repeat in them. Other cases as in ``simhash_groups``.
-    """
-    digest = F.md5(F.coalesce(F.col(text), F.lit("")))
-    named = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), digest.alias("digest"))
-    _, resolved = _grouped(docs.select(named.alias("named"), F.col(text).alias("text")), "named", "text", shingle, distance)
-    id_key = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))  # noqa: E731  keys of joins are never null
-    # Equal texts are in one group, so an id and a digest name one group at most.
-    stay = resolved.select(id_key(F.col("component_id.id")).alias("stay_id"), F.col("component_id.digest").alias("stay_digest"))
-    rows = docs.select(F.struct("*").alias("row"), id_key(F.col(doc_id)).alias("id_key"), digest.alias("digest"))
-    met = rows.join(stay.distinct(), (F.col("id_key") == F.col("stay_id")) & (F.col("digest") == F.col("stay_digest")))
-    return met.dropDuplicates(["id_key", "digest"]).select("row.*")
+    return join_parts(rows, resolved, "fp", "n", rows.count()).select("doc_id", hexed, "component_id")
