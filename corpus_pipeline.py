@@ -9,15 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from textlake.llm.common import cut, table
 from textlake.llm.exact_dedup import drop_exact_copies
 from textlake.llm.mixing import take_mix
+from textlake.llm.near import drop_near_copies
 from textlake.llm.pieces import MODEL, encode_documents
 from textlake.llm.quality import keep_good
-from textlake.llm.simhash import drop_near_copies
 
 ORACLE_SQL = None
 
@@ -44,6 +43,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, ids, score, nbest_scores, round_trip`` of each text."""
+    import public_tokenizers
+
     return encode_documents(docs, public_tokenizers.path(MODEL))
 
 
