@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from textlake.functions.analysis import LETTERS, STANDARD, WHITESPACE, PerField, standard_tokens
-from textlake.functions.scoring import NORM_VALUES, norm_code
+from textlake.functions.scoring import NORM_VALUES, Similarity, norm_code
 from textlake.functions.stemming import porter
 from textlake.operators import kernels
+from textlake.operators.facade import Index
 from textlake.operators.query import MUST, MUST_NOT, SHOULD, Boolean, Fuzzy, MatchAll, Phrase, Prefix, Range, SortField, SpanNear, SpanTerm, Term, bounded_terms, combine
 from textlake.operators.search import Searcher, excerpts, parse_sort
 from textlake.plans.parser import QueryParseError, QueryParser, clean
@@ -136,24 +137,124 @@ def test_porter():
     assert {w: porter(w) for w in words} == words
 
 
-def test_near_kernels_find_what_search_of_all_choices_finds():
-    rng = random.Random(3)
-    for _ in range(300):
-        clauses = [sorted((p, p + 1) for p in rng.sample(range(20), rng.randint(1, 4))) for _ in range(2)]
-        slop = rng.randint(0, 4)
-        fits = lambda c: max(e for _, e in c) - min(s for s, _ in c) - sum(e - s for s, e in c) <= slop
-        choices = list(itertools.product(*clauses))
-        assert bool(kernels.near_unordered(clauses, slop)) == any(map(fits, choices))
-        assert bool(kernels.near_ordered(clauses, slop)) == any(fits(c) for c in choices if c[0] <= c[1])
+def windows(clauses):
+    """(element, next of each other clause) over (place, clause) pairs in order: brute force over the merged list."""
+    merged = sorted((x, k) for k, c in enumerate(clauses) for x in c)
+    for i, (x, k) in enumerate(merged):
+        yield x, k, [[y for y, j in merged[i + 1 :] if j == other] for other in range(len(clauses)) if other != k], [y for y, j in merged[i + 1 :] if j == k]
+
+
+def brute_sloppy(slots, offsets, slop, repeats):
+    found = 0.0
+    for (left, token), _, others, own in windows([[(p - o, p) for p in s] for s, o in zip(slots, offsets, strict=True)]):
+        taken, places = {token}, []
+        for nexts in others:
+            free = [(b, t) for b, t in nexts if not (repeats and t in taken)]
+            places += free[:1]
+            taken |= {t for _, t in free[:1]}
+        if len(places) == len(others):
+            ends = [b for b, _ in places]
+            if max(ends) - left <= slop and not (own and own[0][0] <= min(ends)):
+                found += 1 / (max(ends) - left + 1)
+    return found
 
 
-def test_sloppy_kernel_matches_where_some_choice_is_close():
+def positions(spark, rows, kernel):
+    """The kernel's results for rows of lists, one by one in the order of the rows."""
+    kind = "array<bigint>" if isinstance(rows[0][0][0], int) else "array<struct<start:int,end:int>>"
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], f"i int, lists array<{kind}>")
+    return [r.x for r in df.select("i", kernel(F.col("lists")).alias("x")).orderBy("i").collect()]
+
+
+def test_near_kernels_find_what_search_of_all_choices_finds(spark):
+    rng = random.Random(3)
+    rows = [[sorted((p, p + rng.randint(1, 2)) for p in rng.sample(range(20), rng.randint(1, 4))) for _ in range(3)] for _ in range(200)]
+    size = lambda c: sum(e - s for s, e in c)
+    for slop in (0, 2, 5):
+        unordered = positions(spark, rows, lambda x, n=slop: kernels.near_unordered(x, 3, n))
+        ordered = positions(spark, rows, lambda x, n=slop: kernels.near_ordered(x, 3, n))
+        for clauses, got, got_ordered in zip(rows, unordered, ordered, strict=True):
+            want = []
+            merged = sorted((s, k, e) for k, c in enumerate(clauses) for s, e in c)
+            for i, (s, k, e) in enumerate(merged):
+                nexts = [next(((a, b) for a, j, b in merged[i + 1 :] if j == other), None) for other in range(3) if other != k]
+                if None not in nexts and max(e, *[b for _, b in nexts]) - s - size([(s, e), *nexts]) <= slop:
+                    want.append((s, max(e, *[b for _, b in nexts])))
+            assert sorted(map(tuple, got)) == sorted(want)
+            chains = []
+            for first in clauses[0]:
+                chain = [first]
+                for c in clauses[1:]:
+                    chain += [min((x for x in c if x >= chain[-1]), default=None)] if chain[-1] else [None]
+                if chain[-1] and chain[-1][1] - first[0] - size(chain) <= slop:
+                    chains.append((first[0], chain[-1][1]))
+            assert sorted(map(tuple, got_ordered)) == sorted(chains)
+
+
+@pytest.mark.parametrize("offsets", [[0, 1], [0, 1, 2], [0, 2, 1], [0, 0, 3]])
+def test_sloppy_kernel_sums_all_windows(spark, offsets):
     rng = random.Random(4)
-    for _ in range(300):
-        slots = [sorted(rng.sample(range(25), rng.randint(1, 4))) for _ in range(3)]
-        slop = rng.randint(0, 5)
-        width = min(max(c) - min(c) for c in itertools.product(*[[p - k for p in s] for k, s in enumerate(slots)]))
-        assert (kernels.sloppy_freq(slots, [0, 1, 2], slop, False) > 0) == (width <= slop)
+    rows = [[sorted(rng.sample(range(25), rng.randint(1, 5))) for _ in offsets] for _ in range(150)]
+    for slop in (1, 4):
+        got = positions(spark, rows, lambda x, n=slop: kernels.sloppy_freq(x, offsets, n, False, lambda w: F.lit(1.0) / (w + 1)))
+        assert got == pytest.approx([brute_sloppy(r, offsets, slop, False) for r in rows])
+        for r, f in zip(rows, got, strict=True):  # some choice of positions is close where and only where there is a window
+            closest = min(max(c) - min(c) for c in itertools.product(*[[p - o for p in s] for s, o in zip(r, offsets, strict=True)]))
+            assert (f > 0) == (closest <= slop)
+
+
+def test_sloppy_kernel_with_a_repeated_word(spark):
+    rng = random.Random(6)
+    rows = [[(s := sorted(rng.sample(range(20), rng.randint(1, 5)))), sorted(rng.sample(range(20), 3)), s] for _ in range(150)]
+    got = positions(spark, rows, lambda x: kernels.sloppy_freq(x, [0, 1, 2], 4, True, lambda w: F.lit(1.0) / (w + 1)))
+    assert got == pytest.approx([brute_sloppy(r, [0, 1, 2], 4, True) for r in rows])
+    assert all(f == 0 for r, f in zip(rows, got, strict=True) if len(r[0]) == 1)  # one token cannot fill two slots
+
+
+def test_own_sloppy_factor_changes_scores(index):
+    class Flat(Similarity):
+        def sloppy(self, distance):
+            return F.lit(1.0)
+
+    q = Phrase.of("text", "start", "one", slop=2)
+    plain, flat = ({r.doc_id: r.score for r in Searcher(index, s).matches(q).collect()} for s in (Similarity(), Flat()))
+    assert plain.keys() == flat.keys() and any(flat[d] > plain[d] for d in plain) and all(flat[d] >= plain[d] for d in plain)
+
+
+def test_facade(spark):
+    plain = FieldSpec(tokenized=False)
+    row = lambda i, t, k: (i, t, k)
+    make = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string, key string")
+    ix = Index(build(make([row(0, "one two", "a"), row(1, "two three", "b")]), IndexSpec({"key": plain}), PerField(LETTERS)), key=("key",))
+    assert len(ix) == 2 and ix[1]["text"] == "two three" and ix[7] is None
+    ix.add(make([row(2, "four", "b"), row(3, "five", "c")]))
+    assert sorted(r.doc_id for r in ix[0:3].collect()) == [0, 2] and ix.index.is_deleted(1) and not ix.index.is_deleted(2)
+    assert ids(ix.search("four").hits) == [2] and ids(ix.search("three").hits) == []
+    ix.update("five", text=F.lit("six six"))
+    assert ids(ix.search("six").hits) == [7] and ids(ix.search("five").hits) == [] and ix[7]["key"] == "c"
+    ix.delete("key:a").delete([2])
+    assert len(ix) == 1 and ix.index.max_doc() == 5
+    assert [(t.term, t.freq) for r in ix.term_vector(7, "text").collect() for t in r.terms] == [("six", 2)]
+
+
+def test_facade_on_disk(spark, tmp_path):
+    ix = Index(build(from_records(spark, [{"text": t} for t in ("one two", "two", None)]), IndexSpec({}), PerField(LETTERS)))
+    ix.delete("one").flush(f"{tmp_path}/a")
+    assert len(ix) == 2 and ix.index.max_doc() == 3 and ix.doc_freq("text", "two") == 2
+    ix.optimize(f"{tmp_path}/b")
+    assert len(ix) == 2 and ix.index.max_doc() == 2 and ix.doc_freq("text", "two") == 1
+    norms = {r.doc_id: r.norm for r in ix.index.set_norm("text", F.lit(0.5)).lengths.collect()}
+    assert set(norms.values()) == {0.5}
+
+
+def test_fuzzy_cap_keeps_what_adding_in_turn_keeps(spark):
+    words = sorted({"".join(w) for w in itertools.product("ab", repeat=5)} | {"aaaa", "bbbb", "aaaaab"})
+    ix = build(from_records(spark, [{"text": w} for w in words]), IndexSpec({}), PerField(LETTERS))
+    for most in (1, 3, 7, 20):
+        q = Fuzzy("text", "aaaaa", min_similarity=0.1, prefix_length=0, max_terms=most)
+        c = Searcher(ix).compiler
+        found = sorted((r.term, r.similarity) for r in c.similar_terms(q).collect())
+        assert c.rewrite(q).terms == bounded_terms(found, most) and len(found) > 20
 
 
 def test_excerpts():

@@ -41,7 +41,11 @@ def regexp(pattern: str) -> Callable[[Column], Column]:
     return lambda text: _placed(F.filter(F.regexp_extract_all(_text(text), F.lit(pattern), F.lit(0)), lambda t: t != ""))
 
 
-whitespace, letters, ascii_letters = regexp(r"\S+"), regexp(r"\p{L}+"), regexp("[A-Za-z]+")
+#: White space as C libraries have it for Unicode, without spaces that do not break.
+SPACES = r"\x09-\x0D\x20\x{1680}\x{2000}-\x{2006}\x{2008}-\x{200A}\x{2028}\x{2029}\x{205F}\x{3000}"
+NO_SPACE = f"[^{SPACES}]+"
+whitespace, ascii_whitespace = regexp(NO_SPACE), regexp(r"[^\x09-\x0D\x20]+")
+letters, ascii_letters = regexp(r"\p{L}+"), regexp("[A-Za-z]+")
 
 #: The rules of the standard tokenizer; the longest match at a place wins, and of equal ones the first.
 _WORD = r"[^\W_]"
@@ -175,15 +179,42 @@ class Analyzer:
         return out
 
 
+def offsets(text: Column, pattern: str) -> Column:
+    """``start, end`` of each match of ``pattern``, in characters from 0, end excluded."""
+    kind = "array<struct<start:int,end:int>>"
+
+    def found(x: Column) -> Column:
+        def step(state: Column, m: Column) -> Column:
+            at = F.call_function("locate", m, x["text"], state["at"])
+            here = F.struct((at - 1).alias("start"), (at - 1 + F.length(m)).alias("end"))
+            return F.struct((at + F.length(m)).alias("at"), F.concat(state["out"], F.array(here)).alias("out"))
+
+        start = F.struct(F.lit(1).alias("at"), F.array().cast(kind).alias("out"))
+        return F.aggregate(F.filter(F.regexp_extract_all(x["text"], F.lit(pattern), F.lit(0)), lambda m: m != ""), start, step, lambda s: s["out"])
+
+    return F.element_at(F.transform(F.array(F.struct(_text(text).alias("text"))), found), 1)
+
+
+def token_stream(text: Column, analyzer: Analyzer) -> Column:
+    """Tokens with their places in the text: ``term, start, end, pos``. For analyzers whose filters keep the positions of tokens."""
+    both = F.array(F.struct(analyzer(text).alias("tokens"), offsets(text, analyzer.find).alias("places")))
+    place = lambda x, t, name: F.get(x["places"], t["pos"])[name].alias(name)
+    return F.element_at(F.transform(both, lambda x: F.transform(x["tokens"], lambda t: F.struct(t["term"].alias("term"), place(x, t, "start"), place(x, t, "end"), t["pos"].alias("pos")))), 1)
+
+
 LETTERS = Analyzer(letters, (lower,))
-WHITESPACE = Analyzer(whitespace, (), r"\S+")
+WHITESPACE = Analyzer(whitespace, (), NO_SPACE)
 UNTOKENIZED = Analyzer(untokenized, (), r"(?s).+")
 STOPPED = Analyzer(letters, (lower, stop(stopwords.ENGLISH)))
 STANDARD = Analyzer(standard, (lower, stop(stopwords.FULL_ENGLISH), hyphens))
 ENGLISH = Analyzer(letters, (lower, stop(stopwords.ENGLISH), stem))
 
 
-def regexp_analyzer(pattern: str, lowercase: bool = True) -> Analyzer:
+#: The tokens of a regular-expression analyzer that is given none.
+WORD_PATTERN = r"\p{L}+"
+
+
+def regexp_analyzer(pattern: str = WORD_PATTERN, lowercase: bool = True) -> Analyzer:
     return Analyzer(regexp(pattern), (lower,) if lowercase else (), pattern)
 
 

@@ -46,8 +46,8 @@ class Similarity:
     def query_norm(self, sum_of_squares: float) -> float:
         return 1 / math.sqrt(sum_of_squares) if sum_of_squares > 0 else 0.0
 
-    def sloppy(self, distance: float) -> float:
-        return 1.0 / (distance + 1)
+    def sloppy(self, distance: Column) -> Column:
+        return F.lit(1.0) / (distance + 1)
 
     def coord(self, matched: Column, most: int) -> Column:
         return matched / F.lit(float(most))

@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType
 
 from ..functions.scoring import Similarity
 from ..sources.index import SearchIndex
@@ -84,8 +81,9 @@ class Compiler:
             case Fuzzy():
                 if q.prefix_length >= len(q.term):
                     return Term(q.field, q.term)
-                found = [(r.term, r.similarity) for r in self.similar_terms(q).orderBy("term").collect()]
-                return MultiTerm(q.field, bounded_terms(found, q.max_terms))
+                # Only terms more similar than the last that is kept, and the first of those as similar, can be kept.
+                best = self.similar_terms(q).orderBy(F.desc("similarity"), "term").limit(2 * q.max_terms).collect()
+                return MultiTerm(q.field, bounded_terms(sorted((r.term, r.similarity) for r in best), q.max_terms))
             case Range():
                 return ConstantScore(self.range_docs(q))
             case Phrase() if len(q.slots) == 1:
@@ -145,11 +143,12 @@ class Compiler:
     def statistics(self, q: Query) -> tuple[dict[tuple[str, str], int], int]:
         """Document frequencies of a query's terms, as many rows as it has terms, and the number of documents."""
         wanted = self.terms_of(q)
-        df: dict[tuple[str, str], int] = {}
+        if not wanted:
+            return {}, self.index.max_doc()
+        some = F.lit(False)
         for field in sorted({f for f, _ in wanted}):
-            names = sorted(t for f, t in wanted if f == field)
-            df |= {(field, r.term): r.df for r in self._dictionary(field).filter(F.col("term").isin(names)).select("term", "df").collect()}
-        return df, self.index.max_doc()
+            some = some | ((F.col("field") == field) & F.col("term").isin(sorted(t for f, t in wanted if f == field)))
+        return {(r.field, r.term): r.df for r in self.index.terms.filter(some).select("field", "term", "df").collect()}, self.index.max_doc()
 
     def idf(self, q: Query, df: dict, n: int) -> float:
         of = lambda f, t: self.similarity.idf(df.get((f, t), 0), n)
@@ -202,7 +201,7 @@ class Compiler:
                 return self._scored(self._phrase(q), q, factor, df, n) if q.slots else self._none()
             case Span():
                 spans = self.spans(q)
-                freq = F.sum(1.0 / (F.col("end") - F.col("start") + 1))
+                freq = F.sum(self.similarity.sloppy(F.col("end") - F.col("start")))
                 return self._scored(spans.groupBy("doc_id").agg(freq.alias("freq"), F.first("norm").alias("norm")), q, factor, df, n)
             case MatchAll():
                 return self.index.docs.select("doc_id", F.lit(q.boost * factor).alias("score"))
@@ -268,17 +267,12 @@ class Compiler:
         if q.slop == 0:
             begins = rows.groupBy("doc_id", (F.col("pos") - F.element_at(offsets, F.col("slot") + 1)).alias("begin")).agg(F.count_distinct("slot").alias("met"), F.first("norm").alias("norm"))
             return begins.filter(F.col("met") == len(q.slots)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("freq"), F.first("norm").alias("norm"))
-        shifts, slop = [p - q.slots[0][0] for p, _ in q.slots], q.slop
         words = [w for _, ws in q.slots for w in ws]
-        repeats = len(set(words)) < len(words)
-
-        def freq(lists: pd.Series) -> pd.Series:
-            return lists.map(lambda ls: kernels.sloppy_freq([list(x) for x in ls], shifts, slop, repeats))
-
         gathered = [F.sort_array(F.collect_list(F.when(F.col("slot") == k, F.col("pos").cast("long")))) for k in range(len(q.slots))]
         docs = rows.groupBy("doc_id").agg(F.first("norm").alias("norm"), F.array(*gathered).alias("lists"))
         docs = docs.filter(F.forall("lists", lambda x: F.size(x) > 0))
-        return docs.select("doc_id", "norm", _udf(freq, DoubleType())(F.col("lists")).alias("freq")).filter("freq > 0")
+        freq = kernels.sloppy_freq(F.col("lists"), [p - q.slots[0][0] for p, _ in q.slots], q.slop, len(set(words)) < len(words), self.similarity.sloppy)
+        return docs.select("doc_id", "norm", freq.alias("freq")).filter("freq > 0")
 
     def spans(self, q: Span) -> DataFrame:
         """``doc_id, norm, start, end`` of a span query."""
@@ -303,23 +297,14 @@ class Compiler:
         raise TypeError(f"no spans for {type(q).__name__}")
 
     def _near(self, q: SpanNear) -> DataFrame:
-        """One row for each document, with its spans by clause packed in numbers, goes through a kernel."""
+        """One row for each document, with the spans of each clause in order, goes through a kernel."""
         q.span_field  # noqa: B018  raises where fields differ
-        frames = [self.spans(c).select("doc_id", "norm", F.lit(k).alias("k"), (F.shiftleft(F.col("start").cast("long"), 31) + F.col("end")).alias("span")) for k, c in enumerate(q.clauses)]
+        frames = [self.spans(c).select("doc_id", "norm", F.lit(k).alias("k"), F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")).alias("span")) for k, c in enumerate(q.clauses)]
         every = frames[0]
         for f in frames[1:]:
             every = every.union(f)
-        gathered = [F.sort_array(F.collect_list(F.when(F.col("k") == k, F.col("span")))) for k in range(len(q.clauses))]
+        many = len(q.clauses)
+        gathered = [F.sort_array(F.collect_list(F.when(F.col("k") == k, F.col("span")))) for k in range(many)]
         docs = every.groupBy("doc_id").agg(F.first("norm").alias("norm"), F.array(*gathered).alias("lists")).filter(F.forall("lists", lambda x: F.size(x) > 0))
-        find, slop = (kernels.near_ordered if q.in_order else kernels.near_unordered), q.slop
-
-        def near(lists: pd.Series) -> pd.Series:
-            pairs = lambda x: [(int(v) >> 31, int(v) & 0x7FFFFFFF) for v in x]
-            return lists.map(lambda ls: [(s << 31) + e for s, e in find([pairs(x) for x in ls], slop)])
-
-        found = docs.select("doc_id", "norm", F.explode(_udf(near, ArrayType(LongType()))(F.col("lists"))).alias("span"))
-        return found.select("doc_id", "norm", F.shiftright("span", 31).cast("int").alias("start"), F.col("span").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("end"))
-
-
-def _udf(f: Callable[[pd.Series], pd.Series], kind) -> Callable[[Column], Column]:
-    return F.pandas_udf(f, kind)
+        found = (kernels.near_ordered if q.in_order else kernels.near_unordered)(F.col("lists"), many, q.slop)
+        return docs.select("doc_id", "norm", F.explode(found).alias("span")).select("doc_id", "norm", "span.start", "span.end")

@@ -9,6 +9,7 @@ from ..catalog import query
 from ..functions import analysis as A
 from ..functions import lex, stopwords
 from ..functions.scoring import NORM_VALUES
+from ..operators.facade import Index
 from ..operators.query import (
     MUST, MUST_NOT, SHOULD, Boolean, ConstantScore, Filtered, Fuzzy, MatchAll, MultiTerm, Phrase, Prefix, Query, Range, SortField,
     SpanFirst, SpanNear, SpanNot, SpanOr, SpanPrefix, SpanTerm, Term, Wildcard,
@@ -266,7 +267,22 @@ def _(spark, d):
     return all_hits(spark, d, Phrase.of(T, "of", "the", slop=2)).select("doc_id")
 
 
-@query("phrase_sloppy_scored")
+def sloppy_sql(terms: list[str], slop: int) -> str:
+    """``doc_id, freq`` of a loose phrase of different words, from its definition: each position is met with the next of every other slot."""
+    slots, over = range(len(terms)), "(PARTITION BY doc_id ORDER BY b, k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+    nexts = ", ".join(f"min(b) FILTER (k = {j}) OVER {over} AS n{j}" for j in slots)
+    cases = " UNION ALL ".join(
+        f"SELECT doc_id, greatest({o}) - b AS width FROM m WHERE k = {k} AND {' AND '.join(f'{x} IS NOT NULL' for x in o.split(', '))} AND (n{k} IS NULL OR n{k} > least({o}))"
+        for k in slots
+        for o in [", ".join(f"n{j}" for j in slots if j != k)]
+    )
+    values = ", ".join(f"('{t}', {k})" for k, t in enumerate(terms))
+    return f"""SELECT doc_id, sum(1.0::DOUBLE / (width + 1)) AS freq FROM (
+        WITH p AS (SELECT doc_id, k, pos - k AS b FROM tok JOIN (VALUES {values}) v(term, k) USING (term)), m AS (SELECT *, {nexts} FROM p)
+        {cases}) WHERE width <= {slop} GROUP BY 1"""
+
+
+@query("phrase_sloppy_scored", leaf_sql(sloppy_sql(["of", "the", "and"], 4), ["of", "the", "and"]))
 def _(spark, d):
     return all_hits(spark, d, Phrase.of(T, "of", "the", "and", slop=4))
 
@@ -321,6 +337,23 @@ def _(spark, d):
     return all_hits(spark, d, SpanNear((OF, THE), 1, False)).select("doc_id")
 
 
+def near_sql(ordered: bool, slop: int) -> str:
+    """``doc_id, s, e`` of ``of`` near ``the``: each span and the next one of the other word, after it or, in order, not before it."""
+    ends = "SELECT doc_id, k, pos, min(pos) FILTER (k = 0) OVER w AS n0, min(pos) FILTER (k = 1) OVER w AS n1 FROM (SELECT doc_id, pos, (term = 'the')::INT AS k FROM tok WHERE term IN ('of', 'the')) WINDOW w AS (PARTITION BY doc_id ORDER BY pos, k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+    one = lambda k, n: f"SELECT doc_id, pos AS s, {n} + 1 AS e FROM ({ends}) WHERE k = {k} AND {n} - pos - 1 <= {slop}"
+    return one(0, "n1") if ordered else f"{one(0, 'n1')} UNION ALL {one(1, 'n0')}"
+
+
+@query("span_near_ordered_scored", span_sql(near_sql(True, 3), ["of", "the"]))
+def _(spark, d):
+    return all_hits(spark, d, SpanNear((OF, THE), 3, True))
+
+
+@query("span_near_unordered_scored", span_sql(near_sql(False, 3), ["of", "the"]))
+def _(spark, d):
+    return all_hits(spark, d, SpanNear((OF, THE), 3, False))
+
+
 # ---- filters and factors
 @query("filter_query", bool_sql([(SHOULD, "the")], tail="AND doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')"))
 def _(spark, d):
@@ -438,6 +471,59 @@ def _(spark, d):
     return ix.live().select(F.col("user_id").cast("long").alias("user_id"), "event_type", "doc_id")
 
 
+CUSTOMERS = "SELECT c_custkey AS doc_id, c_name AS name, c_mktsegment AS segment, c_nationkey::VARCHAR AS nation FROM customer"
+
+
+def customers(spark: SparkSession, d: str) -> Index:
+    """An index of customers that changes: name, market segment and nation as they are."""
+    rows = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("doc_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").cast("string").alias("nation"))
+    spec = IndexSpec({c: FieldSpec(tokenized=False) for c in ("name", "segment", "nation")})
+    return Index(build(rows, spec, A.PerField(A.UNTOKENIZED)))
+
+
+@query("update_by_query", f"WITH c AS ({CUSTOMERS}) SELECT CASE WHEN segment = 'BUILDING' THEN doc_id + 1 + (SELECT max(doc_id) FROM c) ELSE doc_id END AS doc_id, name, CASE WHEN segment = 'BUILDING' THEN 'HOUSES' ELSE segment END AS segment, nation FROM c")
+def _(spark, d):
+    return customers(spark, d).update(Term("segment", "BUILDING"), segment=F.lit("HOUSES")).index.live()
+
+
+@query("search_after_update", f"SELECT doc_id + 1 + (SELECT max(c_custkey) FROM customer) AS doc_id FROM ({CUSTOMERS}) WHERE segment = 'BUILDING' AND nation = '7'")
+def _(spark, d):
+    ix = customers(spark, d).update(Term("segment", "BUILDING"), segment=F.lit("HOUSES"))
+    return ix.search(Boolean(((MUST, Term("segment", "HOUSES")), (MUST, Term("nation", "7")))), limit=None).hits.select("doc_id")
+
+
+@query("delete_by_query", f"SELECT * FROM ({CUSTOMERS}) WHERE NOT (segment = 'BUILDING' OR nation = '3')")
+def _(spark, d):
+    return customers(spark, d).delete("segment:BUILDING OR nation:3").index.live()
+
+
+@query("composite_key", "SELECT event_type, user_id, doc_id FROM (SELECT user_id, event_type, event_id AS doc_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS k FROM events) WHERE k = 1")
+def _(spark, d):
+    rows = table(spark, d, "events").select(F.col("event_id").alias("doc_id"), F.col("user_id").cast("string").alias("user_id"), "event_type")
+    half = rows.agg((F.max("doc_id") / 2).cast("long")).first()[0] or 0
+    plain = IndexSpec({"user_id": FieldSpec(tokenized=False), "event_type": FieldSpec(tokenized=False)})
+    ix = Index(build(rows.limit(0), plain), key=("user_id", "event_type")).add(rows.filter(F.col("doc_id") <= half)).add(rows.filter(F.col("doc_id") > half))
+    return ix.index.live().select("event_type", F.col("user_id").cast("long").alias("user_id"), "doc_id")
+
+
+@query("batch_update", f"SELECT doc_id + CASE WHEN nation = '7' THEN 1000000 ELSE 0 END AS doc_id, name, CASE WHEN nation = '7' THEN 'MOVED' ELSE segment END AS segment, nation FROM ({CUSTOMERS})")
+def _(spark, d):
+    ix = customers(spark, d)
+    new = ix.index.docs.filter("nation = '7'").withColumns({"segment": F.lit("MOVED"), "doc_id": F.col("doc_id") + 1000000})
+    return ix.batch_update(new, ["name"]).index.live()
+
+
+@query("documents_by_range", f"SELECT * FROM ({CUSTOMERS}) WHERE doc_id >= 20 AND doc_id < 60 AND segment <> 'BUILDING'")
+def _(spark, d):
+    return customers(spark, d).delete(Term("segment", "BUILDING"))[20:60]
+
+
+@query("term_vector_of_one", f"WITH {base()} SELECT term, tf AS freq, string_agg(pos, ' ' ORDER BY pos) AS positions FROM tok JOIN post USING (doc_id, term) WHERE doc_id = 7 GROUP BY ALL")
+def _(spark, d):
+    one = documents(spark, d).term_vectors(T, 7).select(F.explode("terms").alias("t"))
+    return one.select("t.term", "t.freq", F.array_join("t.positions", " ").alias("positions"))
+
+
 # ---- analysis
 def _tokens(name: str, analyzer, sql: str | None, rows=lambda spark, d: table(spark, d, "documents").select("doc_id", F.col(T))) -> None:
     def run(spark, d):
@@ -454,7 +540,23 @@ def split_sql(pattern: str, change: str = "x", rows: str = "documents", text: st
 _stop = ", ".join(f"'{w}'" for w in stopwords.ENGLISH)
 _tokens("letter_tokens", A.LETTERS, split_sql(r"\p{L}+", "lower(x)"))
 _tokens("ascii_letter_tokens", A.Analyzer(A.ascii_letters), split_sql("[A-Za-z]+"))
-_tokens("whitespace_tokens", A.WHITESPACE, split_sql(r"[^\t\n\x0B\f\r ]+", "x[:255]"))
+_tokens("whitespace_tokens", A.WHITESPACE, split_sql(A.NO_SPACE, "x[:255]"))
+_tokens("ascii_whitespace_tokens", A.Analyzer(A.ascii_whitespace), split_sql(r"[^\t\n\x0B\f\r ]+", "x[:255]"))
+
+
+@query(
+    "token_offsets",
+    """WITH t AS (SELECT doc_id, regexp_extract_all(text, '\\p{L}+') AS m, regexp_split_to_array(text, '\\p{L}+') AS gaps FROM documents WHERE text IS NOT NULL),
+    u AS (SELECT doc_id, unnest(m) AS term, generate_subscripts(m, 1) AS i, gaps FROM t),
+    p AS (SELECT doc_id, term, i, sum(length(gaps[i])) OVER (PARTITION BY doc_id ORDER BY i)
+                 + coalesce(sum(length(term)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM u)
+    SELECT doc_id, lower(term) AS term, count(*) AS n, sum(s)::BIGINT AS starts, sum(s + length(term))::BIGINT AS ends FROM p GROUP BY ALL""",
+)
+def _(spark, d):
+    tokens = table(spark, d, "documents").select("doc_id", F.explode(A.token_stream(F.col(T), A.LETTERS)).alias("t"))
+    return tokens.groupBy("doc_id", "t.term").agg(F.count(F.lit(1)).alias("n"), F.sum("t.start").alias("starts"), F.sum("t.end").alias("ends"))
+
+
 _tokens("regexp_tokens", A.regexp_analyzer("[a-z]+[0-9]*"), split_sql("[a-z]+[0-9]*", "lower(x)", "pages", "url"), lambda spark, d: table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), "url"))
 _tokens("stop_filter", A.STOPPED, f"SELECT * FROM ({split_sql(chr(92) + 'p{L}+', 'lower(x)')}) WHERE term NOT IN ({_stop})")
 _tokens("mapping_filter", A.Analyzer(A.letters, (A.lower, A.mapping({"é": "e", "è": "e", "ê": "e", "ä": "a", "ö": "o", "ü": "u", "ç": "c"}))), split_sql(r"\p{L}+", "translate(lower(x), 'éèêäöüç', 'eeeaouc')"))

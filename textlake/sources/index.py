@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Mapping
 from dataclasses import asdict, dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -81,10 +82,14 @@ class SearchIndex:
     def tokenized_fields(self) -> list[str]:
         return [f for f in self.fields if self.spec.of(f).index and self.spec.of(f).tokenized]
 
-    def max_doc(self) -> int:
-        """Documents, deleted ones too, until the index is compacted."""
+    @cached_property
+    def _size(self) -> int:
         return self.docs.count()
 
+    def max_doc(self) -> int:
+        """Documents, deleted ones too, until the index is compacted. Counted once for each index."""
+        return self._size
+
     def live(self) -> DataFrame:
         return self.docs.join(self.deletes, "doc_id", "left_anti")
 
@@ -94,6 +99,19 @@ class SearchIndex:
     def has_deletions(self) -> bool:
         return not self.deletes.isEmpty()
 
+    def is_deleted(self, doc_id: int) -> bool:
+        return not self.deletes.filter(F.col("doc_id") == doc_id).isEmpty()
+
+    def document(self, doc_id: int) -> dict | None:
+        """The stored fields of one live document."""
+        r = self.live().filter(F.col("doc_id") == doc_id).first()
+        return r.asDict() if r else None
+
+    def documents(self, start: int, stop: int | None = None) -> DataFrame:
+        """The live documents from ``start`` on, up to ``stop``, which is left out."""
+        some = F.col("doc_id") >= start if stop is None else (F.col("doc_id") >= start) & (F.col("doc_id") < stop)
+        return self.live().filter(some)
+
     def term_enum(self, field: str, start: str = "") -> DataFrame:
         """The dictionary of a field from ``start`` on: term, df, cf in order."""
         return self.terms.filter((F.col("field") == field) & (F.col("term") >= start)).select("term", "df", "cf").orderBy("term")
@@ -111,9 +129,10 @@ class SearchIndex:
     def term_count(self, field: str) -> int:
         return self.terms.filter(F.col("field") == field).count()
 
-    def term_vectors(self, field: str | None = None) -> DataFrame:
-        """doc_id, field, terms (array of term, freq, positions, in order of terms)."""
+    def term_vectors(self, field: str | None = None, doc_id: int | None = None) -> DataFrame:
+        """doc_id, field, terms (array of term, freq, positions, in order of terms), of all documents or one."""
         found = self.postings if field is None else self.postings.filter(F.col("field") == field)
+        found = found if doc_id is None else found.filter(F.col("doc_id") == doc_id)
         one = F.struct("term", F.col("tf").alias("freq"), "positions")
         return found.groupBy("doc_id", "field").agg(F.sort_array(F.collect_list(one)).alias("terms"))
 
@@ -154,8 +173,16 @@ class SearchIndex:
 
     def set_boost(self, field: str, factor: Column) -> SearchIndex:
         """Multiply a field's norms by ``factor``, a column over docs; they pass through their bytes again."""
-        some = self.docs.select("doc_id", F.lit(field).alias("field"), factor.cast("double").alias("_f"))
-        renorm = lambda df: df.join(some, ["doc_id", "field"], "left").withColumn("norm", F.when(F.col("_f").isNull(), F.col("norm")).otherwise(decoded_norm(F.col("norm") * F.col("_f")))).drop("_f")
+        return self._renormed(field, factor, lambda norm, f: norm * f)
+
+    def set_norm(self, field: str, value: Column) -> SearchIndex:
+        """Overwrite a field's norms by ``value``, a column over docs, as it comes back from its byte; null leaves them."""
+        return self._renormed(field, value, lambda norm, v: v)
+
+    def _renormed(self, field: str, by: Column, change: Callable[[Column, Column], Column]) -> SearchIndex:
+        some = self.docs.select("doc_id", F.lit(field).alias("field"), by.cast("double").alias("_f"))
+        new = F.when(F.col("_f").isNull(), F.col("norm")).otherwise(decoded_norm(change(F.col("norm"), F.col("_f"))))
+        renorm = lambda df: df.join(some, ["doc_id", "field"], "left").withColumn("norm", new).drop("_f")
         return replace(self, postings=renorm(self.postings), lengths=renorm(self.lengths))
 
     # ---- storing
@@ -164,7 +191,8 @@ class SearchIndex:
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))  # said outright, so that few bytes are still sorted by all cores
         self.postings.repartitionByRange(parts, "field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        for name in ("terms", "lengths", "deletes"):
+        self.terms.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/terms")
+        for name in ("lengths", "deletes"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
         spec = self.spark.createDataFrame([(self.spec.to_json(),)], "spec string")
         spec.coalesce(1).write.mode("overwrite").text(f"{path}/spec")

@@ -16,6 +16,8 @@ _own: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a temporary folder only where the session names none, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     return named or _own.setdefault(app, tempfile.mkdtemp(prefix="textlake-"))
 

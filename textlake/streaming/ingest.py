@@ -5,10 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.analysis import PerField
-from ..sources.index import TABLES, IndexSpec, SearchIndex, _dictionary, build
+from ..sources.index import TABLES, IndexSpec, SearchIndex, build
+
+ORDER = {"postings": ("field", "term", "doc_id"), "terms": ("field", "term")}
 
 
 @dataclass(frozen=True)
@@ -23,7 +26,10 @@ class SegmentedIndex:
         segment = build(rows, self.spec, self.analyzer, scratch=f"{self.path}/inverted/segment={batch}")
         for name in TABLES:
             if name != "deletes":
-                getattr(segment, name).write.mode("overwrite").parquet(f"{self.path}/{name}/segment={batch}")
+                table = getattr(segment, name)
+                if name in ORDER:  # a segment is sorted like an index
+                    table = table.repartitionByRange(*ORDER[name]).sortWithinPartitions(*ORDER[name])
+                table.write.mode("overwrite").parquet(f"{self.path}/{name}/segment={batch}")
 
     def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
         """Index a streaming DataFrame until it is stopped."""
@@ -31,5 +37,6 @@ class SegmentedIndex:
 
     def open(self, spark: SparkSession) -> SearchIndex:
         """The index as it is now."""
-        read = {name: spark.read.parquet(f"{self.path}/{name}").drop("segment") for name in ("docs", "postings", "lengths")}
-        return SearchIndex(self.spec, self.analyzer, read["docs"], read["postings"], _dictionary(read["postings"]), read["lengths"], read["docs"].select("doc_id").limit(0))
+        read = {name: spark.read.parquet(f"{self.path}/{name}").drop("segment") for name in ("docs", "postings", "terms", "lengths")}
+        terms = read["terms"].groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+        return SearchIndex(self.spec, self.analyzer, read["docs"], read["postings"], terms, read["lengths"], read["docs"].select("doc_id").limit(0))
