@@ -96,7 +96,7 @@ class Remembered(dict):
 
 
 class Merged(dict):
-    """Numbers of words (UTF-8, with spaces), whose ids are those that the library's encoder gives them."""
+    """Numbers of words (UTF-8, with spaces): the ids that the library's encoder gives them, what those are worth, and the lattice's best score and gap."""
 
     def __init__(self, model: Pieces):
         super().__init__()
@@ -105,10 +105,12 @@ class Merged(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.begins, self.sizes, self.ids, self.scores, self.exact = array("q"), array("q"), array("i"), array("d"), array("b")
+        self.begins, self.sizes, self.ids, self.exact = array("q"), array("q"), array("i"), array("b")
+        self.worth, self.scores, self.gaps = array("d"), array("d"), array("d")
+        self.nbest: dict[tuple[str, int], list] = {}
 
     def full(self) -> bool:
-        return len(self) > REMEMBERED or len(self.ids) > 16 * REMEMBERED
+        return len(self) > REMEMBERED or len(self.ids) > 16 * REMEMBERED or len(self.nbest) > REMEMBERED // 16
 
     def learn(self, words: Iterable[bytes]) -> None:
         """Encode words that are not known yet. A last character that no piece joins to the one before it is encoded on its own."""
@@ -121,26 +123,34 @@ class Merged(dict):
                     new.update((head, last))
                 else:
                     new.add(w)
-        raw, worth = self.model.raw, self.model.worth
-        new = [w for w in new if w not in self]  # each after a line end, so that the library puts no mark before it
-        for word, ids in zip(new, self.model.encoder.encode([b"\n" + w for w in new], num_threads=1), strict=True):
+        raw, worth, found = self.model.raw, self.model.worth, {}
+        new = [w for w in new if w not in self]
+        shown = [w.decode("utf-8").replace(" ", SPACE_MARK) for w in new]
+        short = [w for w in shown if len(w) <= AT_ONCE[1]]
+        for k in range(0, len(short), AT_ONCE[0]):
+            found.update((w, (score, gap)) for w, _, score, gap in self.model.best_of_many(short[k : k + AT_ONCE[0]]))
+        # Each word after a line end, so that the library puts no mark before it.
+        for word, show, ids in zip(new, shown, self.model.encoder.encode([b"\n" + w for w in new], num_threads=1), strict=True):
             ids = ids[self.before :]
-            self.add(word, array("i", ids), sum([worth[i] for i in ids]), b"".join([raw[i] for i in ids]) == word)
+            best = found.get(show) or self.model.best_of(show)[1:]
+            self.add(word, array("i", ids), sum([worth[i] for i in ids]), b"".join([raw[i] for i in ids]) == word, *best)
         for word, (head, last) in ends.items():
             if word not in self:
                 i, j = self[head], self[last]
-                self.add(word, self.ids_of(i) + self.ids_of(j), self.scores[i] + self.scores[j], self.exact[i] and self.exact[j])
+                self.add(word, self.ids_of(i) + self.ids_of(j), self.worth[i] + self.worth[j], self.exact[i] and self.exact[j], self.scores[i] + self.scores[j], min(self.gaps[i], self.gaps[j]))
 
     def ids_of(self, number: int) -> array:
         return self.ids[self.begins[number] : self.begins[number] + self.sizes[number]]
 
-    def add(self, word: bytes, ids: array, score: float, exact: bool) -> None:
+    def add(self, word: bytes, ids: array, worth: float, exact: bool, score: float, gap: float) -> None:
         self[word] = len(self.sizes)
         self.begins.append(len(self.ids))
         self.sizes.append(len(ids))
         self.ids.extend(ids)
+        self.worth.append(worth)
+        self.exact.append(bool(exact))
         self.scores.append(score)
-        self.exact.append(exact)
+        self.gaps.append(gap)
 
 
 class Pieces:
@@ -354,20 +364,21 @@ class Pieces:
         moved = np.repeat(np.frombuffer(of.begins, np.int64)[known] - (np.cumsum(sizes) - sizes), sizes)
         return np.frombuffer(of.ids, np.int32)[moved + np.arange(len(moved))], sizes
 
-    def _ways(self, words: list[str], known: np.ndarray, n: int) -> tuple[float, list[tuple[float, dict[int, tuple[int, ...]]]]]:
+    def _ways(self, words: list[str] | _Picked, known: np.ndarray, n: int, of: Remembered | Merged | None = None) -> tuple[float, list[tuple[float, dict[int, tuple[int, ...]]]]]:
         """The best score, and of the ``n`` best segmentations what each loses to it and its ids where they differ, by word."""
         if not len(known):
             return 0.0, [(0.0, {})]
-        scores, gaps = np.frombuffer(self.best.scores)[known], np.frombuffer(self.best.gaps)[known]
+        of = self.best if of is None else of
+        scores, gaps = np.frombuffer(of.scores)[known], np.frombuffer(of.gaps)[known]
         most = min(n - 1, len(gaps))
         limit = np.partition(gaps, most - 1)[most - 1] if most else -INF
         weak = sorted((g, i) for i, g in ((i, gaps[i]) for i in np.flatnonzero((gaps <= limit) & (gaps < INF)).tolist()))[:most]
         ways: list[tuple[float, dict[int, tuple[int, ...]]]] = [(0.0, {})]
         for _, i in weak:
             key = (words[i], n)
-            if key not in self.best.nbest:
-                self.best.nbest[key] = self.nbest(*key)
-            lost = [(float(scores[i]) - s, ids) for ids, s in self.best.nbest[key]]
+            if key not in of.nbest:
+                of.nbest[key] = self.nbest(*key)
+            lost = [(float(scores[i]) - s, ids) for ids, s in of.nbest[key]]
             ways = heapq.nsmallest(n, ((w + d, {**c, i: ids} if k else c) for w, c in ways for k, (d, ids) in enumerate(lost)), key=lambda x: x[0])
         return float(scores.sum()), ways
 
@@ -390,26 +401,21 @@ class Pieces:
         numbers = np.fromiter(map(self.best.__getitem__, words), np.int64, len(words))
         exact = np.fromiter((self.best.raw[k] == w for k, w in zip(numbers.tolist(), split.words, strict=True)), bool, len(words))
         ids, ends, trips = self._joined(split, numbers, exact, self.best)
-        return ids, ends, self._scores(split, words, numbers, n), trips
+        return ids, ends, self._scores(split, words, numbers, n, self.best), trips
 
     def merge_many(self, texts: list[bytes], n: int = NBEST) -> tuple[np.ndarray, np.ndarray, list[float], list[list[float]], list[bool]]:
         """The library's ids of UTF-8 texts end to end, their ends and scores; the scores of the ``n`` best segmentations; whether the ids decode to the text."""
         split, merged = _Split(texts), self.merged
         if not split.words:
             return np.empty(0, np.int32), np.zeros(len(texts), np.int64), [0.0] * len(texts), [[0.0] for _ in texts], [True] * len(texts)
-        if self.best.full():
-            self.best.forget()
         if merged.full():
             merged.forget()
-        words = [w.decode("utf-8").replace(" ", SPACE_MARK) for w in split.words]
-        self.best.learn(words)
-        best = np.fromiter(map(self.best.__getitem__, words), np.int64, len(words))
         merged.learn(split.words)
-        numbers = np.fromiter(map(merged.__getitem__, split.words), np.int64, len(words))
-        ids, ends, trips = self._joined(split, numbers, np.array(merged.exact, bool)[numbers], merged)
-        worth = np.array(merged.scores)[numbers][split.index]
+        numbers = np.fromiter(map(merged.__getitem__, split.words), np.int64, len(split.words))
+        ids, ends, trips = self._joined(split, numbers, np.frombuffer(merged.exact, bool)[numbers], merged)
+        worth = np.frombuffer(merged.worth)[numbers][split.index]
         own = [float(worth[i:j].sum()) for i, j in split.spans]
-        return ids, ends, own, self._scores(split, words, best, n), trips
+        return ids, ends, own, self._scores(split, split.words, numbers, n, merged), trips
 
     def _joined(self, split: _Split, numbers: np.ndarray, exact: np.ndarray, of: Remembered | Merged) -> tuple[np.ndarray, np.ndarray, list[bool]]:
         ids, sizes = self._gathered(numbers[split.index], of)
@@ -417,10 +423,10 @@ class Pieces:
         trips = [bool(good[i:j].all()) or self.decode(ids[upto[i] : upto[j]].tolist()) == body[1:].decode("utf-8") for (i, j), body in zip(split.spans, split.bodies, strict=True)]
         return ids, upto[[j for _, j in split.spans]], trips
 
-    def _scores(self, split: _Split, words: list[str], numbers: np.ndarray, n: int) -> list[list[float]]:
+    def _scores(self, split: _Split, words: list[str] | list[bytes], numbers: np.ndarray, n: int, of: Remembered | Merged) -> list[list[float]]:
         known, out = numbers[split.index], []
         for i, j in split.spans:
-            total, ways = self._ways(_Picked(words, split.index[i:j]), known[i:j], n)
+            total, ways = self._ways(_Picked(words, split.index[i:j]), known[i:j], n, of)
             out.append([total - w for w, _ in ways])
         return out
 
@@ -464,11 +470,12 @@ class _Split:
 class _Picked:
     """The words of a text, by their places in a list of distinct ones."""
 
-    def __init__(self, words: list[str], index: np.ndarray):
+    def __init__(self, words: list[str] | list[bytes], index: np.ndarray):
         self.words, self.index = words, index
 
     def __getitem__(self, i: int) -> str:
-        return self.words[self.index[i]]
+        w = self.words[self.index[i]]
+        return w if isinstance(w, str) else w.decode("utf-8").replace(" ", SPACE_MARK)
 
 
 @lru_cache(maxsize=2)
@@ -482,7 +489,7 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
     ``ids`` are those of the library's encoder and ``score`` is the sum of their scores; ``nbest_scores`` the scores of the ``nbest`` best ones of the
     whole text; ``round_trip`` says whether the ids decode to the text (a mark that the text itself holds
     decodes to a space, and then counts as one). A null text is empty, and an empty text has no ids, score 0
-    and one segmentation. Repeated rows are encoded alike; a null doc_id is carried along; an empty table
+    and one segmentation. Very long texts are encoded whole. Repeated rows are encoded alike; a null doc_id is carried along; an empty table
     gives an empty result; other columns play no part.
     """
     import pyarrow as pa
