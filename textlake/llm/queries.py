@@ -12,7 +12,7 @@ from .exact_dedup import exact_dedup
 from .lm import score_documents
 from .mixing import mix
 from . import pieces as sentence_pieces
-from .quality import em_sql, judge_quality
+from .quality import FUNCTION_WORDS, em_sql, judge_quality
 from .sharding import shard
 from .simhash import simhash_groups
 from .suffix_dedup import repeat_digest
@@ -112,9 +112,11 @@ FEATURES_SQL = r"""
     SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
            length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
            (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
-           len(lines)::BIGINT AS n_lines
+           len(lines)::BIGINT AS n_lines, len(list_distinct(w))::BIGINT AS n_distinct,
+           len(list_filter(w, lambda x: x IN (FUNCTION_WORDS)))::BIGINT AS n_function,
+           length(regexp_replace(t, '[^.!?]', '', 'g'))::BIGINT AS n_ends, length(regexp_replace(t, '[^0-9]', '', 'g'))::BIGINT AS n_digits
     FROM d LEFT JOIN c USING (doc_id)
-"""
+""".replace("FUNCTION_WORDS", ", ".join(f"'{w}'" for w in FUNCTION_WORDS))
 
 
 @_query("op1_quality_rules", em_sql(FEATURES_SQL))
