@@ -4,8 +4,10 @@ Byte-level BPE is run as two deterministic transducers. The first reads characte
 pre-tokens begin; its transitions carry the marks, of which one may lie a character back. Texts are laid
 end to end and cut into chunks; each chunk's map from entry state to exit state is found for all chunks
 and states at once, the maps compose by a parallel prefix scan, and a second pass with known entry states
-reads off the marks. The second transducer reads the bytes of a pre-token: its transitions carry the
-change in the number of tokens, found from the one token that can end the longer prefix. Pre-tokens seen
+reads off the marks. The second transducer reads the bytes of every pre-token, whatever its length: a transition carries the
+change in the number of tokens that the byte makes. Its states are made deterministic as they are met: a state is what the future can
+depend on, the ends of the text so far that begin some token, each with the last token before it and the tokens
+after it. Prefixes that agree in these are one state, and a transition is compiled once. Pre-tokens seen
 lately are kept with their counts, up to a bound on their number.
 """
 
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 MODEL, LIMIT = "byte_bpe_50k.json", 512
 #: Characters in a chunk, characters worked on at once, and pre-tokens remembered.
 CHUNK, BLOCK, REMEMBERED = 1024, 1 << 21, 800_000
-#: Bytes of a word that is merged outright; the rank of no merge.
-SHORT, NEVER = 48, 1 << 60
+#: States that a machine keeps before it begins anew; the rank of no merge.
+MOST_STATES, NEVER = 300_000, 1 << 60
 SEAM = "\ud800"  # stands between texts; no text can hold it
 
 LETTER, NUMBER, BLANK, WHITE, QUOTE, OTHER, END = range(7)
@@ -125,7 +127,10 @@ def pretoken_starts(codes: np.ndarray) -> np.ndarray:
 
 
 class ByteMachine:
-    """The transducer over the bytes of a pre-token, built as it is used."""
+    """The transducer over the bytes of a pre-token, compiled as it is used.
+
+    ``go`` maps ``state * 256 + byte`` to ``next state * 1024 + 512 + change in the number of tokens``.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -139,9 +144,33 @@ class ByteMachine:
         self.made = [vocab[raw(a + b)] for a, b in pairs]
         self.byte_ids = [vocab[bytes([b])] for b in range(256)]
         self.tokens = vocab
-        self.longest = max(map(len, self.tokens))
+        if max(map(len, vocab)) > 500:
+            raise ValueError("changes of the number of tokens have ten bits")
         self.special = [t["content"] for t in spec["added_tokens"]]
+        self.begun = {t[:n] for t in vocab for n in range(len(t))}
         self.fits: dict[tuple[bytes, bytes], bool] = {}
+        self._start()
+
+    def _start(self) -> None:
+        """The state before any byte: the empty end, after no token."""
+        first = ((b"", b"", 0),)
+        self.states, self.ends, self.go = {first: 0}, [first], {}
+
+    def compile(self, state: int, byte: int) -> int:
+        """The transition from ``state``. One token can end the longer text: that which may follow the last token before it."""
+        ends = [(end + bytes([byte]), last, after) for end, last, after in self.ends[state]]
+        for end, last, after in ends:
+            if end in self.tokens and self.follows(last, end):
+                break
+        else:
+            raise ValueError("the vocabulary lacks a byte")
+        change = 1 - after  # ``after`` tokens follow the place where this one begins
+        kept = (*[(e, t, n + change) for e, t, n in ends if e in self.begun], (b"", end, 0))
+        found = self.states.setdefault(kept, len(self.ends))
+        if found == len(self.ends):
+            self.ends.append(kept)
+        move = self.go[state << 8 | byte] = found << 10 | (change + 512)
+        return move
 
     def merged(self, word: bytes) -> list[int]:
         """The ids of a string's tokens, by merging the leftmost pair of lowest rank again and again."""
@@ -172,23 +201,17 @@ class ByteMachine:
         return known
 
     def count(self, word: bytes) -> int:
-        """Tokens of ``word``: each prefix ends in the one token that may follow the last of what is before it.
-
-        That takes steps in proportion to the length; a short word is merged outright.
-        """
-        if len(word) <= SHORT:
-            return len(self.merged(word))
-        last, counts = [b""], [0]
-        for i in range(1, len(word) + 1):
-            for k in range(max(0, i - self.longest), i):
-                token = word[k:i]
-                if token in self.tokens and self.follows(last[k], token):
-                    last.append(token)
-                    counts.append(counts[k] + 1)
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
-        return counts[-1]
+        """Tokens of ``word``: the sum of its transitions."""
+        if len(self.ends) > MOST_STATES:
+            self._start()
+        go, state, n = self.go.get, 0, 0
+        for byte in word:
+            move = go(state << 8 | byte)
+            if move is None:
+                move = self.compile(state, byte)
+            state = move >> 10
+            n += (move & 1023) - 512
+        return n
 
 
 class Remembered(dict):
