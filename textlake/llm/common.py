@@ -18,14 +18,21 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Has Spark delete the shuffle files of a query when the query has ended.
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: A key with more than one part in so many of a join's rows is sent to every task.
+HOT_KEYS = 2048
+#: Ids of rows that go, up to which they are sent to every task (some 30 MB); beyond that the rows are shuffled.
+MOST_GONE = 300_000
+
 _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share; a temporary one only where the session names none and is local (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="textlake-")
@@ -62,6 +69,45 @@ def drop_table(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def join_parts(rows: DataFrame, table: DataFrame, on: str | list[str], count: str, total: int) -> DataFrame:
+    """``rows``, ``total`` of them, joined with ``table``, whose ``count`` says how many of them each of its keys has.
+
+    Keys with more than a 2,048th of all rows, of which there are fewer than 2,048, go to every task and their rows stay
+    where they are; the other keys are shuffled, and none of them is hot. Keys are unique in ``table``.
+    """
+    on = [on] if isinstance(on, str) else on
+    keys = [f"_{c}" for c in on]
+    named = table.withColumnsRenamed(dict(zip(on, keys, strict=True)))
+    hot, cold = (named.filter(x) for x in (F.col(count) * HOT_KEYS > total, F.col(count) * HOT_KEYS <= total))
+    same = [F.col(c) == F.col(k) for c, k in zip(on, keys, strict=True)]
+    met = rows.join(F.broadcast(hot), same).drop(*keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), same, "left_anti").join(cold.hint("merge"), same).drop(*keys)
+    return met.unionByName(rest)
+
+
+def id_key(c: Column) -> Column:
+    """An id as a key of joins, which is never null."""
+    return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+
+
+def keep_judged(docs: DataFrame, doc_id: str, digest: Column, judged: DataFrame, most_gone: int = MOST_GONE) -> DataFrame:
+    """The rows of ``docs`` less those that ``judged`` says to drop, and one of each set of rows equal in id and digest.
+
+    ``judged`` has ``doc_id, digest, stays, times`` once for each id and digest of the table, ``times`` being its rows; entries
+    of one row that stays may be missing. Texts are not shuffled unless ``judged`` says more than ``most_gone`` such things.
+    """
+    judged = cut(judged.filter("NOT stays OR times > 1").select(id_key(F.col("doc_id")).alias("k"), F.col("digest").alias("d"), "stays"), "judged")
+    small = judged.count() <= most_gone
+    sent = F.broadcast if small else (lambda df: df.hint("merge"))
+    full = docs.select(F.struct("*").alias("row"), id_key(F.col(doc_id)).alias("id_key"), digest.alias("digest"))
+    same = (F.col("id_key") == F.col("k")) & (F.col("digest") == F.col("d"))
+    kept = full.join(sent(judged), same, "left_anti").select("row.*")
+    twice = judged.filter("stays")
+    if twice.isEmpty():
+        return kept
+    return kept.union(full.join(sent(twice), same).dropDuplicates(["id_key", "digest"]).select("row.*"))
+
+
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
     """``f(value)`` with ``value`` computed once: a lambda variable is never inlined by the optimizer."""
     return F.transform(F.array(value), f)[0]

@@ -1,12 +1,12 @@
 """Exact deduplication over an extendible-hash index kept in shared files.
 
-Texts are equal when identical after lower-casing A-Z. The index has one entry per distinct text and
-writing task: copies collapse before anything is moved, so a text that holds a third of all rows is a
-few entries. A directory of hash prefixes doubles while a bucket is overfull; each bucket is a key
-range, and the task that owns it chains the entries of equal 64-bit keys and tells them apart.
-Entries whose 64-bit key is shared by different digests or lengths are chained by digest; what is
-compared of a pair is the SHA-256 of the normalised bytes and their number, so that texts need not move;
-``different_bytes`` compares the bytes themselves.
+Texts are equal when identical after lower-casing A-Z. Every row is an entry under a 64-bit key. A directory of
+key prefixes doubles while a bucket is overfull; each bucket is a key range. Entries are counted by bucket and key; a key with one
+entry is a chain of one. Keys with more are chained by the task that owns their bucket's part of the key range: the normalised texts
+themselves are grouped, so equal bytes are one link of a chain and different bytes, whose keys collide, are two. Copies collapse in
+each writing task before texts move, so a text that holds a third of all rows is one representative from each
+task. Keys that occur once, most of them, move no text. The index has a row for each link, sorted by bucket and key in shared files,
+and each entry is answered by its bucket, key and digest.
 """
 
 from __future__ import annotations
@@ -14,10 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii
+from .common import MOST_GONE, cut, join_parts, keep_judged, lower_ascii
 
-#: Entries that a bucket may hold before it splits, and the most bits that the directory uses.
-BUCKET_ENTRIES, MAX_DEPTH = 200_000, 14
+#: Entries that a bucket may hold before it splits; bits that the directory may use beyond what even keys would need, and at all.
+BUCKET_ENTRIES, SPARE_DEPTH, MAX_DEPTH = 200_000, 4, 20
+#: Repeated keys, up to which they are sent to every task (some 30 MB); beyond that the texts are shuffled to them.
+MOST_REPEATED = 500_000
 
 
 def split_directory(cells: dict[int, int], capacity: int, max_depth: int) -> tuple[int, list[int]]:
@@ -48,62 +50,85 @@ def split_directory(cells: dict[int, int], capacity: int, max_depth: int) -> tup
     return size, directory
 
 
-def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` as ``row`` (all their columns), ``id``, ``digest`` (SHA-256, hex), ``n`` (bytes) and ``h`` (64-bit key)."""
-    norm = lower_ascii(F.coalesce(F.col(text), F.lit("")))
-    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), norm.alias("norm"))
-    return rows.select("row", "id", F.sha2("norm", 256).alias("digest"), F.octet_length("norm").cast("long").alias("n"), F.xxhash64("norm").alias("h"))
+def _norm(text: str) -> Column:
+    return lower_ascii(F.coalesce(F.col(text), F.lit("")))
+
+
+def _keyed(norm: str) -> list[Column]:
+    return [F.octet_length(norm).cast("long").alias("n"), F.xxhash64(norm).alias("h")]
 
 
 def _prefix(h: Column, bits: int) -> Column:
     return F.shiftrightunsigned(h, 64 - bits).cast("int") if bits else F.lit(0)
 
 
-def build_index(entries: DataFrame, capacity: int = BUCKET_ENTRIES, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """The index of rows ``h, digest, n, id``: ``bucket, h, digest, n, keep_id, group_size``, one row for each distinct text.
+def entries_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``id, digest`` (SHA-256, hex), ``n`` (bytes) and ``h`` (64-bit key) of each row, as a table."""
+    rows = docs.select(F.col(doc_id).alias("id"), _norm(text).alias("norm"))
+    return cut(rows.select("id", F.sha2("norm", 256).alias("digest"), *_keyed("norm")), "exact-entries")
+
+
+def directory_of(entries: DataFrame, capacity: int = BUCKET_ENTRIES) -> tuple[int, list[int]]:
+    """The directory's depth and its buckets. The depth that it may reach grows with the number of entries."""
+    most = min(MAX_DEPTH, SPARE_DEPTH + max(1, entries.count() // capacity).bit_length())
+    counts = entries.groupBy(_prefix(F.col("h"), most).alias("cell")).agg(F.approx_count_distinct("h").alias("k"))
+    return split_directory({r.cell: r.k for r in counts.collect()}, capacity, most)  # at most 2 ** most rows
+
 
-    It lies in the shared folder, each owner's buckets sorted by key, so that the entries of one key are a
-    chain of neighbours. ``keep_id`` is the largest id; null loses to any other.
+def build_index(entries: DataFrame, texts: DataFrame, directory: tuple[int, list[int]], most_repeated: int = MOST_REPEATED) -> DataFrame:
+    """The index of ``entries`` whose texts are ``texts`` (``id, norm``): ``bucket, h, digest, n, link, keep_id, group_size``.
+
+    One row for each link of a chain. ``keep_id`` is the largest id; null loses to any other. Two links of one digest
+    would be different bytes of one SHA-256 and raise an error.
     """
-    counts = entries.groupBy(_prefix(F.col("h"), max_depth).alias("cell")).agg(F.approx_count_distinct("h").alias("k"))
-    depth, directory = split_directory({r.cell: r.k for r in counts.collect()}, capacity, max_depth)  # at most 2**max_depth rows
-    bucket = F.element_at(F.lit(directory), _prefix(F.col("h"), depth) + 1)
-    chains = entries.groupBy("h", "digest", "n").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    owned = chains.withColumn("bucket", bucket).repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h", "digest")
-    return cut(owned, "exact-index")
+    bucket = bucket_of(directory)
+    keys = cut(entries.groupBy(bucket.alias("bucket"), "h").agg(F.count(F.lit(1)).alias("group_size"), F.max("id").alias("keep_id"), F.max("digest").alias("digest"), F.max("n").alias("n")), "exact-keys")
+    alone = keys.filter("group_size = 1").select("bucket", "h", "digest", "n", F.lit(0).alias("link"), "keep_id", "group_size")
+    repeated = keys.filter("group_size > 1").select(F.col("h").alias("repeated"))
+    sent = F.broadcast if repeated.count() <= most_repeated else (lambda df: df.hint("merge"))
+    met = texts.select("id", "norm", *_keyed("norm")).join(sent(repeated), F.col("h") == F.col("repeated"), "left_semi")
+    # Grouping by the text itself compares bytes, in the writing task and then in the owner of the bucket's keys.
+    links = met.groupBy(bucket.alias("bucket"), "h", "norm").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    links = links.select("bucket", "h", F.sha2("norm", 256).alias("digest"), F.octet_length("norm").cast("long").alias("n"), "keep_id", "group_size")
+    chains = links.groupBy("bucket", "h").agg(F.sort_array(F.collect_list(F.struct("digest", "n", "keep_id", "group_size"))).alias("chain"))
+    chained = chains.select("bucket", "h", F.posexplode("chain").alias("link", "e"), F.size(F.array_distinct("chain.digest")).alias("digests"), F.size("chain").alias("links"))
+    checked = F.when(F.col("digests") == F.col("links"), F.col("e.digest")).otherwise(F.raise_error(F.lit("different texts of one SHA-256")))
+    chained = chained.select("bucket", "h", checked.alias("digest"), F.col("e.n").alias("n"), "link", F.col("e.keep_id").alias("keep_id"), F.col("e.group_size").alias("group_size"))
+    return cut(alone.unionByName(chained).repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h", "link"), "exact-index")
+
+
+def bucket_of(directory: tuple[int, list[int]]) -> Column:
+    depth, buckets = directory
+    return F.element_at(F.lit(buckets), _prefix(F.col("h"), depth) + 1)
+
+
+def _answered(docs: DataFrame, doc_id: str, text: str, capacity: int) -> DataFrame:
+    """``doc_id, digest, keep_id, group_size`` of each row."""
+    entries = entries_of(docs, doc_id, text)
+    directory = directory_of(entries, capacity)
+    index = build_index(entries, docs.select(F.col(doc_id).alias("id"), _norm(text).alias("norm")), directory).drop("n", "link")
+    met = join_parts(entries.select(F.col("id").alias("doc_id"), "h", "digest", bucket_of(directory).alias("bucket")), index, ["bucket", "h", "digest"], "group_size", entries.count())
+    return met.select("doc_id", "digest", "keep_id", "group_size")
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = BUCKET_ENTRIES) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Of equal texts the row with the largest doc_id stays. A null text counts as empty; empty texts equal
-    one another. Repeated rows (the same doc_id and text) count in ``group_size`` and are all marked kept
-    if their doc_id is; ``drop_exact_copies`` keeps one of them. A null doc_id is smaller than any other.
+    one another. Very long texts are compared whole. Repeated rows (the same doc_id and text) count in ``group_size`` and are all
+    marked kept if their doc_id is; ``drop_exact_copies`` keeps one of them. A null doc_id is smaller than any other.
     An empty table gives an empty result. Other columns, whatever their names, play no part.
     """
-    entries = cut(keyed(docs, doc_id, text).select("id", "h", "digest", "n"), "exact-entries")
-    index = build_index(entries, capacity).select("h", "digest", "n", "keep_id", "group_size")
-    met = entries.join(index, ["h", "digest", "n"])
-    return met.select(F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
+    met = _answered(docs, doc_id, text, capacity)
+    return met.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
-def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = BUCKET_ENTRIES) -> DataFrame:
+def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = BUCKET_ENTRIES, most_gone: int = MOST_GONE) -> DataFrame:
     """The rows of ``docs`` that stay, with the columns of ``docs``: of equal texts, one with the largest doc_id.
 
-    Nulls, empty texts and ties as in ``exact_dedup``; of rows equal in doc_id and text one stays.
-    """
-    id_key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("id_key")  # noqa: E731  keys of joins are never null
-    rows = keyed(docs, doc_id, text)
-    index = build_index(cut(rows.select("id", "h", "digest", "n"), "exact-entries"), capacity)
-    stay = index.select("h", "digest", "n", id_key("keep_id"))
-    met = rows.withColumn("id_key", id_key("id")).join(stay, ["h", "digest", "n", "id_key"])
-    return met.dropDuplicates(["h", "digest", "n", "id_key"]).select("row.*")
-
-
-def different_bytes(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``digest, n, texts`` where equal digests and lengths hide different bytes: empty unless SHA-256 collides.
-
-    The audit of an index. Copies collapse in each task before texts move.
+    Nulls, empty and very long texts, ties and an empty table as in ``exact_dedup``; of rows equal in doc_id and text one stays.
     """
-    norm = docs.select(lower_ascii(F.coalesce(F.col(text), F.lit(""))).alias("norm")).distinct()
-    return norm.groupBy(F.sha2("norm", 256).alias("digest"), F.octet_length("norm").alias("n")).agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+    met = _answered(docs, doc_id, text, capacity).filter("group_size > 1")
+    judged = met.groupBy("doc_id", "digest").agg(F.max("keep_id").alias("keep_id"), F.count(F.lit(1)).alias("times"))
+    judged = judged.select("doc_id", "digest", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("stays"), "times")
+    return keep_judged(docs, doc_id, F.sha2(_norm(text), 256), judged, most_gone)

@@ -23,8 +23,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-from .simhash import SEED, components, join_parts, shingle_hashes
+from .common import MOST_GONE, cut, join_parts, keep_judged
+from .simhash import SEED, components, shingle_hashes
 
 SHINGLE, WORDS_OF_64, DISTANCE = 5, 4, 45
 #: Segments and their bits; bits that may flip, flips at most, keys of each segment.
@@ -32,8 +32,6 @@ SEGMENTS, WIDTH = 9, 28
 UNCERTAIN, FLIPS, KEYS = 9, 4, 16
 #: Rows of a run whose pairs are all looked at; rows of a block of a longer run.
 SHORT, BLOCK = 8, 1024
-#: Ids of rows that go, up to which they are sent to every task (some 10 MB); beyond that the rows are shuffled.
-MOST_GONE = 100_000
 #: Rows of uncertain bits by subset: 1 where the bit flips.
 SUBSETS = np.array([[j in c for j in range(UNCERTAIN)] for n in range(FLIPS + 1) for c in itertools.combinations(range(UNCERTAIN), n)])
 FP = [f"f{i}" for i in range(WORDS_OF_64)]
@@ -77,7 +75,7 @@ def marked(docs: DataFrame, doc_id: str, text: str, shingle: int = SHINGLE) -> D
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, 1024) for b in batches for at in range(0, len(b), 1024)):
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, len(b), 256)):
             margins = np.stack([votes(t, shingle) for t in batch.column("text").to_pylist()])
             fp = np.packbits(margins > 0, axis=1, bitorder="little").view(np.int64)
             keys = keys_of(margins)
@@ -235,15 +233,5 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     met = join_parts(rows, resolved, FP, "n", rows.count()).select("doc_id", "least")
     # Equal texts are in one class, so an id and a digest are of one class at most.
     judged = met.groupBy("doc_id").agg(F.max("least").alias("least"), F.count(F.lit(1)).alias("times"))
-    id_key = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))  # noqa: E731  keys of joins are never null
-    keyed = judged.select(id_key(F.col("doc_id.id")).alias("k"), F.col("doc_id.digest").alias("d"), F.col("doc_id").eqNullSafe(F.col("least")).alias("stays"), "times")
-    judged = cut(keyed.filter("NOT stays OR times > 1"), "near-judged")
-    small = judged.count() <= most_gone
-    sent = F.broadcast if small else (lambda df: df.hint("merge"))
-    full = docs.select(F.struct("*").alias("row"), id_key(F.col(doc_id)).alias("id_key"), digest.alias("digest"))
-    same = (F.col("id_key") == F.col("k")) & (F.col("digest") == F.col("d"))
-    kept = full.join(sent(judged), same, "left_anti").select("row.*")
-    twice = judged.filter("stays")
-    if twice.isEmpty():
-        return kept
-    return kept.union(full.join(sent(twice), same).dropDuplicates(["id_key", "digest"]).select("row.*"))
+    judged = judged.select(F.col("doc_id.id").alias("doc_id"), F.col("doc_id.digest").alias("digest"), F.col("doc_id").eqNullSafe(F.col("least")).alias("stays"), "times")
+    return keep_judged(docs, doc_id, digest, judged, most_gone)
