@@ -20,15 +20,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_table
+from .common import cut, drop_table, join_parts
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: First bit and width of each segment: one more than half the distance allows a ball of radius one.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 #: Candidate pairs of one segment value that a join may form; fingerprints in a block beyond that.
 MOST_PAIRS, BLOCK = 4096, 1024
-#: A key with more than one part in so many of a join's rows is sent to every task.
-HOT_KEYS = 2048
 
 
 def shingle_hashes(text: str | None, shingle: int, seed: int) -> list[int]:
@@ -127,13 +125,14 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
     probes = fps.select("fp", F.explode(F.concat(*[ball(s, *seg) for s, seg in enumerate(SEGMENTS)])).alias("x")).select(F.col("x.s").cast("tinyint").alias("s"), F.col("x.k").cast("int").alias("k"), "fp", "x.own")
     held = cut(table.groupBy("s", "k").agg(F.count(F.lit(1)).alias("held")), "simhash-held")
-    asked = probes.join(held.withColumnsRenamed({"s": "hs", "k": "hk"}), (F.col("s") == F.col("hs")) & (F.col("k") == F.col("hk"))).drop("hs", "hk")
+    # Spark would judge tables that were just written by their compressed size: these grow with the fingerprints and are never sent to every task.
+    asked = probes.join(held.withColumnsRenamed({"s": "hs", "k": "hk"}).hint("merge"), (F.col("s") == F.col("hs")) & (F.col("k") == F.col("hk"))).drop("hs", "hk")
     # A key's own fingerprints alone find nothing: drop probes that meet only themselves.
     asked = cut(asked.filter(~(F.col("own") & (F.col("held") == 1))), "simhash-probes")
     busy = cut(asked.groupBy("s", "k").agg(F.count(F.lit(1)).alias("probes"), F.max("held").alias("held")).filter(F.col("probes") * F.col("held") > MOST_PAIRS).withColumnsRenamed({"s": "hs", "k": "hk"}), "simhash-busy")
     on_busy = (F.col("s") == F.col("hs")) & (F.col("k") == F.col("hk"))
     quiet_asked = asked.join(busy, on_busy, "left_anti").select("s", "k", "own", F.col("fp").alias("a"))
-    quiet = quiet_asked.join(table.withColumnsRenamed({"s": "ts", "k": "tk", "fp": "b"}), (F.col("s") == F.col("ts")) & (F.col("k") == F.col("tk")))
+    quiet = quiet_asked.join(table.withColumnsRenamed({"s": "ts", "k": "tk", "fp": "b"}).hint("merge"), (F.col("s") == F.col("ts")) & (F.col("k") == F.col("tk")))
     quiet = quiet.filter((F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance) & (~F.col("own") | (F.col("a") < F.col("b")))).select("a", "b")
 
     # Busy keys: probes and table rows in blocks of about BLOCK, every block of one against every block of the other.
@@ -150,22 +149,6 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return quiet.unionByName(crowded).distinct()
 
 
-def join_parts(rows: DataFrame, table: DataFrame, on: str | list[str], count: str, total: int) -> DataFrame:
-    """``rows``, ``total`` of them, joined with ``table``, whose ``count`` says how many of them each of its keys has.
-
-    Keys with more than a 2,048th of all rows, of which there are fewer than 2,048, go to every task and their rows stay
-    where they are; the other keys are shuffled, and none of them is hot. Keys are unique in ``table``.
-    """
-    on = [on] if isinstance(on, str) else on
-    keys = [f"_{c}" for c in on]
-    named = table.withColumnsRenamed(dict(zip(on, keys, strict=True)))
-    hot, cold = (named.filter(x) for x in (F.col(count) * HOT_KEYS > total, F.col(count) * HOT_KEYS <= total))
-    same = [F.col(c) == F.col(k) for c, k in zip(on, keys, strict=True)]
-    met = rows.join(F.broadcast(hot), same).drop(*keys)
-    rest = rows.join(F.broadcast(hot.select(*keys)), same, "left_anti").join(cold.hint("merge"), same).drop(*keys)
-    return met.unionByName(rest)
-
-
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """``node, root`` for every node of ``edges`` (``a, b``): the smallest node that it reaches.
 
