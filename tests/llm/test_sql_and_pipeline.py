@@ -31,7 +31,7 @@ def test_one_row_for_each_row(spark, name):
 
 def test_language_model_beats_unigrams_on_held_out_documents(spark):
     held = queries.QUERIES["op6_lm_scoring"](spark, "/root/testdata/sf0.01").filter("held_out").selectExpr("sum(score) / sum(n_tokens) AS s", "sum(base_score) / sum(n_tokens) AS b").first()
-    assert held.s > held.b
+    assert held.s > held.b + 0.1
 
 
 def near_copies_kept(docs):
