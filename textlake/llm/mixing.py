@@ -24,9 +24,9 @@ WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 BUCKET_ROWS, BINS = 4096, 4096
 
 
-def order_key(doc_id: Column) -> Column:
-    """The shuffled order: hex digits, equal for equal ids."""
-    return F.md5(F.concat(F.lit("mix:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def order_key(doc_id: Column, text: Column) -> Column:
+    """The shuffled order: hex digits, equal for equal ids with equal texts."""
+    return F.md5(F.concat(F.lit("mix:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -119,7 +119,7 @@ def finish_cut(copies: DataFrame, budget: float, rows_at_once: int = 10_000) ->
 
 def _planned(docs: DataFrame, doc_id: str, text: str, source: str, weights, share, most) -> tuple[DataFrame, DataFrame, float]:
     """The queue (one row per document), the sources with their targets, and the finish time of the cut."""
-    rows = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), order_key(F.col(doc_id)).alias("key"), F.size(words(F.col(text))).cast("long").alias("size")), "mix-sizes")
+    rows = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), order_key(F.col(doc_id), F.col(text)).alias("key"), F.size(words(F.col(text))).cast("long").alias("size")), "mix-sizes")
     sources = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "mix-sources")
     line = _join(queued(rows, rows.count()), sources, [])
     v = lambda passes: F.when(F.col("target") > 0, (F.col("source_size") * passes + F.col("before")) / F.col("target"))
@@ -133,8 +133,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     """One row per row of ``docs``: ``doc_id, size, source_size, target, taken``.
 
     ``size`` counts words (null text: 0) and ``taken`` the words that the mix takes: 0, 1 or 2 times the
-    size. Rows with the same source and doc_id tie: they finish together and are taken or left together. A
-    null source is a source of its own, the last; an empty text takes no part. An empty table gives an
+    size. Rows with the same source, doc_id and text tie: they finish together and are taken or left together; rows that share
+    an id, or have none, and differ in text do not. Very long texts are counted whole. A null source is a source of its own, the last; an empty text takes no part. An empty table gives an
     empty result. Other columns, whatever their names, play no part. Reruns agree.
     """
     line, _, end = _planned(docs, doc_id, text, source, weights, share, most)
@@ -153,6 +153,6 @@ def take_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     heads = cut(line.groupBy("source").agg(last("v1").alias("k1"), last("v2").alias("k2")), "mix-heads")
     if heads.count() <= broadcast_sources:
         heads = F.broadcast(heads)
-    rows = docs.select(F.struct("*").alias("row"), F.col(source).alias("source"), order_key(F.col(doc_id)).alias("key"), F.regexp_like(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]")).alias("has"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(source).alias("source"), order_key(F.col(doc_id), F.col(text)).alias("key"), F.regexp_like(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]")).alias("has"))
     times = F.when(F.col("key") <= F.col("k1"), 1).otherwise(0) + F.when(F.col("key") <= F.col("k2"), 1).otherwise(0)
     return _join(rows.filter("has"), heads, []).select("row", F.explode(F.array_repeat(F.lit(0), times)).alias("again")).select("row.*")

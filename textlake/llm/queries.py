@@ -55,7 +55,7 @@ WORDS_SQL = r"len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-
 @_query(
     "op7_mix_sources",
     f"""
-    WITH d AS (SELECT doc_id, source, {WORDS_SQL}::BIGINT AS size, md5(concat('mix:', coalesce(doc_id::VARCHAR, ''))) AS key FROM documents),
+    WITH d AS (SELECT doc_id, source, {WORDS_SQL}::BIGINT AS size, md5(concat('mix:', coalesce(doc_id::VARCHAR, ''), ':', md5(coalesce(text, '')))) AS key FROM documents),
     s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
     r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM s),
     w AS (SELECT *, [3.0, 1.0, 2.0][i % 3 + 1]::DOUBLE AS w, source_size * 2 AS cap FROM r),
