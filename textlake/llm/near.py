@@ -1,12 +1,12 @@
-"""Near copies of a stated similarity: SimHash of 256 bits and multi-index hashing with balls ordered by certainty.
+"""Near copies of a stated similarity: SimHash of 1,024 bits and multi-index hashing with balls ordered by certainty.
 
-At a similarity of 0.8 of their word shingles, two texts differ in some 15 % of their fingerprints' bits, too many
-for a ball of radius one in a few segments of 64 bits. So each shingle gives four hashes and a fingerprint has 256 bits, cut
-into nine segments of 28. Which bits differ between near copies is no accident: a bit flips where its count of ones lies
-near half. The Hamming ball around a segment is therefore walked from its least certain bits (subsets of up to four
-of the nine least certain, in order of the votes that they would have to gain), and its first sixteen members are the
+At a similarity of 0.8 of their word shingles, two texts differ in some 15 % of their fingerprints' bits: too many
+for a ball of radius one in a few segments of 64 bits, and too uncertain an estimate from so few. So each shingle gives sixteen hashes
+and a fingerprint has 1,024 bits, of which nine segments of 28 are the index. Which bits differ between near copies is no accident: a bit
+flips where its count of ones lies near half. The Hamming ball around a segment is therefore walked from its least certain bits (subsets
+of up to four of the nine least certain, in order of the votes that they would have to gain), and its first sixteen members are the
 segment's keys. Two texts are candidates where they share a key, and then the complete distance is checked: at most
-45 of 256 bits, which 0.8 keeps below in 87 of 100 cases, 0.85 in 98, and unrelated texts in none.
+160 of 1,024 bits. README has the recall and what is found below 0.8.
 
 Keys are numbers, sorted; a key's rows are a run. Short runs give their pairs. A long run (a group of near
 copies) gives a star around its first text; only texts that are too far from the star's head are compared with
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import MOST_GONE, cut, join_parts, keep_judged
 from .simhash import SEED, components, shingle_hashes
 
-SHINGLE, WORDS_OF_64, DISTANCE = 5, 4, 45
+SHINGLE, WORDS_OF_64, DISTANCE = 5, 16, 160
 #: Segments and their bits; bits that may flip, flips at most, keys of each segment.
 SEGMENTS, WIDTH = 9, 28
 UNCERTAIN, FLIPS, KEYS = 9, 4, 16
@@ -46,11 +46,11 @@ def _mixed(h: np.ndarray, i: int) -> np.ndarray:
 
 
 def votes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """For each of the 256 bits, how many more distinct shingles have it than not; no words: all 0."""
+    """For each bit, how many more distinct shingles have it than not; no words: all 0."""
     hashes = np.unique(np.array(shingle_hashes(text, shingle, SEED), np.uint64))
     ones = np.zeros(64 * WORDS_OF_64, np.int64)
-    for at in range(0, len(hashes), 1 << 14):  # whole texts, in bounded pieces
-        words = np.stack([_mixed(hashes[at : at + (1 << 14)], i) for i in range(WORDS_OF_64)], 1)
+    for at in range(0, len(hashes), 1 << 12):  # whole texts, in bounded pieces
+        words = np.stack([_mixed(hashes[at : at + (1 << 12)], i) for i in range(WORDS_OF_64)], 1)
         ones += np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int32)
     return 2 * ones - len(hashes)
 
@@ -69,7 +69,7 @@ def keys_of(margins: np.ndarray) -> np.ndarray:
 
 
 def marked(docs: DataFrame, doc_id: str, text: str, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, f0..f3, keys`` for each row."""
+    """``doc_id, f0..f15, keys`` for each row."""
     import pyarrow as pa
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -165,7 +165,7 @@ def _distance(left: str, right: str) -> Column:
 
 
 def wide_links(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Links ``a, b`` of ``classes`` (``fid, f0..f3, keys``) whose components are those of all candidates within the distance."""
+    """Links ``a, b`` of ``classes`` (``fid, f0..f15, keys``) whose components are those of all candidates within the distance."""
     import pyarrow as pa
 
     met = cut(meetings(classes.select(F.explode("keys").alias("key"), "fid")), "near-met")
@@ -201,7 +201,7 @@ def wide_links(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, doc_id: str, text: str, shingle: int = SHINGLE, distance: int = DISTANCE) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, f0..f3`` for each row, and for each fingerprint that has copies or links ``f0..f3, n, least``.
+    """``doc_id, f0..f15`` for each row, and for each fingerprint that has copies or links ``f0..f15, n, least``.
 
     ``n`` counts the fingerprint's rows; ``least`` is the smallest doc_id of its component.
     """
