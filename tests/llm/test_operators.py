@@ -377,13 +377,13 @@ def test_simhash_groups_equal_brute_force(docs):
 
 
 def brute_wide(text: str | None) -> int:
-    """The 256 bits of a text's fingerprint, from its definition."""
+    """The 1,024 bits of a text's fingerprint, from its definition."""
     w = [x.encode() for x in words(lower(text))]
     grams = {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-    mask, bits = (1 << 64) - 1, [0] * 256
+    mask, bits = (1 << 64) - 1, [0] * 1024
     for g in grams:
         h = xxhash.xxh64_intdigest(g, 42)
-        for word in range(4):
+        for word in range(16):
             x = (h + word * 0x9E3779B97F4A7C15) & mask
             x = ((x ^ (x >> 31)) * 0xD6E8FEB86659FD93) & mask
             x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & mask
@@ -437,10 +437,10 @@ def test_crowded_keys_lose_no_link(spark, monkeypatch, short, block):
     monkeypatch.setattr(near, "SHORT", short)
     monkeypatch.setattr(near, "BLOCK", block)
     rng = np.random.default_rng(3)
-    base = rng.integers(0, 1 << 62, (4, 4))
-    fps = np.array([base[k % 4] ^ np.array([sum(1 << int(b) for b in rng.choice(62, rng.integers(0, 14), False)) for _ in range(4)]) for k in range(60)])
+    base = rng.integers(0, 1 << 62, (4, 16))
+    fps = np.array([base[k % 4] ^ np.array([sum(1 << int(b) for b in rng.choice(62, rng.integers(0, 11), False)) for _ in range(16)]) for k in range(60)])
     keys = [[1 + k % 2, 100 + k % 3] for k in range(60)]
-    df = spark.createDataFrame([(k, *map(int, f), ks) for k, (f, ks) in enumerate(zip(fps, keys, strict=True))], "fid bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint, keys array<int>")
+    df = spark.createDataFrame([(k, *map(int, f), ks) for k, (f, ks) in enumerate(zip(fps, keys, strict=True))], f"fid bigint, {', '.join(f'{f} bigint' for f in near.FP)}, keys array<int>")
     near_pairs = [(i, j) for i in range(60) for j in range(i) if set(keys[i]) & set(keys[j]) and sum((int(a) ^ int(b)).bit_count() for a, b in zip(fps[i], fps[j], strict=True)) <= near.DISTANCE]
     label = list(range(60))
     for i, j in near_pairs:
