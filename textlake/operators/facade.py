@@ -23,8 +23,9 @@ class Index:
     """
 
     def __init__(self, index: SearchIndex, key: Sequence[str] = (), parser: QueryParser | None = None, similarity: Similarity | None = None):
-        self.index, self.key = index, list(key)
-        self.parser, self.similarity = parser or QueryParser(tuple(index.tokenized_fields)), similarity or Similarity()
+        self.index, self.key, self.similarity = index, list(key), similarity or Similarity()
+        whole = tuple(index.tokenized_fields)
+        self.parser = parser or QueryParser(whole or tuple(index.fields), tuple(index.fields), whole)
 
     @property
     def searcher(self) -> Searcher:
