@@ -5,7 +5,7 @@ of that length between suffixes matter, so a suffix is named by its first bytes,
 by sorting one bucket of names at a time: a bucket is a range of leading bits and its size is bounded, so
 memory is too. The first round's names are sums of powers, cheap to have for every sample; unequal names are unequal strings, so
 no repeat is lost, and what ties by chance leaves in the rounds after. These decide, and their names are XXH3 hashes of the bytes
-themselves with 128 bits: at 100 TB two different strings tie with a probability under 1e-9.
+themselves with 112 bits: at 100 TB two different strings tie with a probability of about 1e-6.
 
 1. Cover samples. Positions whose remainders by ``v`` lie in a perfect difference cover are sampled: two
    suffixes of any remainders have, fewer than ``v`` bytes on, samples at the same distance. Each sample is
@@ -76,16 +76,18 @@ def names(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-#: A name of 128 bits as two numbers, by which it sorts.
-STRONG = np.dtype([("hi", np.uint64), ("lo", np.uint64)])
+#: A name as two numbers, by which it sorts, and the bits of the second that are kept: 112 in all.
+STRONG, KEPT = np.dtype([("hi", np.uint64), ("lo", np.uint64)]), np.uint64((1 << 48) - 1)
 
 
 def strong_names(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """XXH3 hashes of 128 bits of the strings of ``length`` bytes at ``starts``."""
+    """XXH3 hashes (112 bits) of the strings of ``length`` bytes at ``starts``."""
     import xxhash
 
     raw, digest = memoryview(np.ascontiguousarray(text)), xxhash.xxh3_128_digest
-    return np.frombuffer(b"".join([digest(raw[a : a + length]) for a in starts.tolist()]), STRONG)
+    out = np.frombuffer(b"".join([digest(raw[a : a + length]) for a in starts.tolist()]), STRONG).copy()
+    out["lo"] &= KEPT
+    return out
 
 
 def sorted_order(found: np.ndarray) -> np.ndarray:
@@ -317,7 +319,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     inside a character. A null text is empty; an empty or short text loses nothing; repeated rows are
     documents of their own and so lose everything if long enough; a null doc_id is carried along; an empty
     table gives an empty result; other columns play no part. Very long texts are a chunk of their own. Two different strings are
-    taken for equal only where 128-bit hashes of their bytes collide.
+    taken for equal only where 112-bit hashes of their bytes collide.
     """
     import pyarrow as pa
 
