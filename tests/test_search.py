@@ -14,6 +14,7 @@ from textlake.operators.search import Searcher, excerpts, parse_sort
 from textlake.plans.parser import QueryParseError, QueryParser, clean
 from textlake.sources.index import FieldSpec, IndexSpec, build, from_records, load
 
+# Texts, queries and what they print are those that any engine of this query language has to agree on.
 TEXTS = ["start finish one two", "start one finish two", "start one two finish", "finish start one two", "finish one start two", "one two three", None, ""]
 
 
@@ -221,6 +222,15 @@ def test_own_sloppy_factor_changes_scores(index):
     assert plain.keys() == flat.keys() and any(flat[d] > plain[d] for d in plain) and all(flat[d] >= plain[d] for d in plain)
 
 
+def test_highlights_mark_what_matched(index, spark):
+    places = lambda ix, q: {r.doc_id: r.positions for r in Searcher(ix).match_positions(q, "text").collect()}
+    assert places(index, Phrase.of("text", "start", "finish", slop=1)) == {0: [0, 1], 1: [0, 2]}  # in 2 they are too far apart
+    assert places(index, Range("text", "one", "start")) == {0: [0, 2], 1: [0, 1], 2: [0, 1], 3: [1, 2], 4: [1, 2], 5: [0]}
+    rows = spark.createDataFrame([(0, ["one two", "three"])], "doc_id bigint, text array<string>")
+    ix = Searcher(build(rows, analyzer=PerField(LETTERS)))
+    assert [r.excerpts for r in ix.highlight(Term("text", "three"), "text", rows).collect()] == [["one two <b>three</b>"]]
+
+
 def test_facade(spark):
     plain = FieldSpec(tokenized=False)
     row = lambda i, t, k: (i, t, k)

@@ -267,12 +267,29 @@ class Compiler:
         if q.slop == 0:
             begins = rows.groupBy("doc_id", (F.col("pos") - F.element_at(offsets, F.col("slot") + 1)).alias("begin")).agg(F.count_distinct("slot").alias("met"), F.first("norm").alias("norm"))
             return begins.filter(F.col("met") == len(q.slots)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("freq"), F.first("norm").alias("norm"))
+        freq = kernels.sloppy_freq(F.col("lists"), *self._loose(q), self.similarity.sloppy)
+        return self._gathered(q).select("doc_id", "norm", freq.alias("freq")).filter("freq > 0")
+
+    @staticmethod
+    def _loose(q: Phrase) -> tuple[list[int], int, bool]:
+        """Offsets, slop and whether a word is repeated, of a loose phrase."""
         words = [w for _, ws in q.slots for w in ws]
+        return [p - q.slots[0][0] for p, _ in q.slots], q.slop, len(set(words)) < len(words)
+
+    def loose_places(self, q: Phrase) -> DataFrame:
+        """doc_id, pos of the tokens that lie in the windows of a loose phrase and fill a slot of it."""
+        offsets, slop, repeats = self._loose(q)
+        met = self._gathered(q).select("doc_id", "lists", kernels.sloppy_windows(F.col("lists"), offsets, slop, repeats).alias("windows"))
+        inside = lambda shift: lambda p: F.exists("windows", lambda w: (p - shift >= w["left"]) & (p - shift <= w["right"]))
+        places = F.concat(*[F.filter(F.element_at("lists", k + 1), inside(shift)) for k, shift in enumerate(offsets)])
+        return met.select("doc_id", F.explode(F.array_distinct(places).cast("array<int>")).alias("pos"))
+
+    def _gathered(self, q: Phrase) -> DataFrame:
+        """doc_id, norm, lists (the positions of each slot) of documents that have all slots of a phrase."""
+        rows = self.slots(q)
         gathered = [F.sort_array(F.collect_list(F.when(F.col("slot") == k, F.col("pos").cast("long")))) for k in range(len(q.slots))]
         docs = rows.groupBy("doc_id").agg(F.first("norm").alias("norm"), F.array(*gathered).alias("lists"))
-        docs = docs.filter(F.forall("lists", lambda x: F.size(x) > 0))
-        freq = kernels.sloppy_freq(F.col("lists"), [p - q.slots[0][0] for p, _ in q.slots], q.slop, len(set(words)) < len(words), self.similarity.sloppy)
-        return docs.select("doc_id", "norm", freq.alias("freq")).filter("freq > 0")
+        return docs.filter(F.forall("lists", lambda x: F.size(x) > 0))
 
     def spans(self, q: Span) -> DataFrame:
         """``doc_id, norm, start, end`` of a span query."""

@@ -14,8 +14,8 @@ from pyspark.sql.types import ArrayType, StringType
 from ..functions.scoring import Similarity
 from ..plans.parser import QueryParser
 from ..sources.index import SearchIndex
-from .compile import Compiler
-from .query import MUST_NOT, Boolean, Filtered, MultiTerm, Phrase, Query, SortField, Span, Term
+from .compile import Compiler, term_range
+from .query import MUST_NOT, Boolean, Filtered, MultiTerm, Phrase, Query, Range, SortField, Span, Term
 
 RELEVANCE, INDEX_ORDER = (SortField("score"),), (SortField("doc_id"),)
 
@@ -192,8 +192,8 @@ class Searcher:
     # ---- highlighting
     def match_positions(self, q: Query | str, field_: str) -> DataFrame:
         """``doc_id, positions`` of the tokens that a query's terms, or spans and phrases, match in a field."""
-        compiler = self.compiler
-        frames = [f for f in self._positions(compiler, compiler.rewrite(self.query(q)), field_)]
+        compiler, q = self.compiler, self.query(q)
+        frames = self._positions(compiler, compiler.rewrite(q), field_) + self._range_positions(q, field_)
         if not frames:
             return self.index.docs.select("doc_id", F.array().cast("array<int>").alias("positions")).limit(0)
         every = frames[0]
@@ -201,6 +201,18 @@ class Searcher:
             every = every.union(f)
         return every.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("positions"))
 
+    def _range_positions(self, q: Query, field_: str) -> list[DataFrame]:
+        """Positions of the terms that a query's ranges span, which rewriting turns into documents."""
+        match q:
+            case Boolean():
+                return [f for o, sub in q.clauses if o != MUST_NOT for f in self._range_positions(sub, field_)]
+            case Filtered():
+                return self._range_positions(q.query, field_)
+            case Range() if q.field == field_:
+                rows = self.index.postings.filter((F.col("field") == field_) & term_range(q, F.col("term")))
+                return [rows.select("doc_id", F.explode("positions").alias("pos"))]
+        return []
+
     def _positions(self, c: Compiler, q: Query, field_: str) -> list[DataFrame]:
         match q:
             case Boolean():
@@ -208,13 +220,13 @@ class Searcher:
             case Filtered():
                 return self._positions(c, q.query, field_)
             case Phrase() if q.field == field_:
+                if q.slop:
+                    return [c.loose_places(q)]
                 rows = c.slots(q)
                 shift = F.element_at(F.lit([p - q.slots[0][0] for p, _ in q.slots]), F.col("slot") + 1)
                 rows = rows.withColumn("begin", F.col("pos") - shift)
-                if q.slop == 0:
-                    whole = rows.groupBy("doc_id", "begin").agg(F.count_distinct("slot").alias("met")).filter(F.col("met") == len(q.slots))
-                    rows = rows.join(whole, ["doc_id", "begin"], "left_semi")
-                return [rows.select("doc_id", "pos")]
+                whole = rows.groupBy("doc_id", "begin").agg(F.count_distinct("slot").alias("met")).filter(F.col("met") == len(q.slots))
+                return [rows.join(whole, ["doc_id", "begin"], "left_semi").select("doc_id", "pos")]
             case Span() if q.span_field == field_:
                 terms = sorted(t for _, t in c.terms_of(q))
                 rows = self.index.postings.filter((F.col("field") == field_) & F.col("term").isin(terms)).select(F.col("doc_id").alias("d"), F.explode("positions").alias("pos"))
@@ -232,7 +244,9 @@ class Searcher:
         def show(texts: pd.Series, positions: pd.Series) -> pd.Series:
             return pd.Series([excerpts(t or "", list(p), pattern, excerpt_length, num_excerpts, pre_tag, post_tag, ellipsis) for t, p in zip(texts, positions, strict=True)])
 
-        rows = hits.select("doc_id").join(self.index.docs.select("doc_id", F.col(field_).cast("string").alias("text")), "doc_id").join(self.match_positions(q, field_), "doc_id")
+        several = self.index.docs.schema[field_].dataType.simpleString().startswith("array")
+        text = F.array_join(field_, " ") if several else F.col(field_).cast("string")  # the values of an array follow one another
+        rows = hits.select("doc_id").join(self.index.docs.select("doc_id", text.alias("text")), "doc_id").join(self.match_positions(q, field_), "doc_id")
         return rows.select("doc_id", F.pandas_udf(show, ArrayType(StringType()))("text", "positions").alias("excerpts"))
 
 
