@@ -99,8 +99,8 @@ def filter_urls(pages: DataFrame, labelled: Sequence[tuple[str, str, int]], page
 
     The longest fitting rule decides; else the classifier trained from ``labelled`` (host, path, label)
     does, with allow from 0.5. Without labels of both kinds all probabilities are the share of allowed
-    ones. A null url or one without ``://`` has empty host and path, and is judged by the classifier. Repeated
-    rows are judged alike; an empty table gives an empty result; other columns play no part.
+    ones. A null url or one without ``://`` has empty host and path, and is judged by the classifier. Very long urls are
+    read whole. A null page_id is carried along. Repeated rows are judged alike; an empty table gives an empty result; other columns play no part.
     """
     import pyarrow as pa
 
