@@ -274,3 +274,29 @@ def test_excerpts():
     (got,) = excerpts(long, [200], r"\p{L}+", 40, 2, "[", "]", "..")
     assert got.startswith("..") and got.endswith("..") and "[hit]" in got and len(got) < 60
     assert excerpts("nothing", [], r"\p{L}+", 40, 2, "[", "]", "..") == []
+
+
+def test_offsets_of_a_long_text_take_linear_time(spark):
+    """200,000 tokens; adding to one array for each token, and looking for each from the start, took minutes."""
+    import time
+
+    from textlake.functions.analysis import offsets
+
+    texts = spark.createDataFrame([(0, "word  é " * 100_000), (1, None), (2, ""), (3, "..a\U0001d4b3b..cé"), (4, "12")], "k int, t string")
+    begun = time.monotonic()
+    got = {r.k: r for r in texts.select("k", offsets(F.col("t"), r"\p{L}+").alias("o")).select("k", F.size("o").alias("n"), F.slice("o", F.greatest(F.size("o") - 1, F.lit(1)), 2).alias("last")).collect()}
+    assert [got[k].n for k in range(5)] == [200_000, 0, 0, 2, 0]
+    assert [tuple(x) for x in got[0].last] == [(799_992, 799_996), (799_998, 799_999)]
+    assert [tuple(x) for x in got[3].last] == [(2, 5), (7, 9)]  # a character beyond U+FFFF counts once
+    assert time.monotonic() - begun < 60
+
+
+@pytest.mark.parametrize("pattern", [r"\p{L}+", "[a-z]*", "(?<=a)b|a*", r"([a-z])\1", "(?s).+"])
+def test_offsets_are_those_of_the_matches(spark, pattern):
+    import regex
+
+    from textlake.functions.analysis import offsets
+
+    texts = ["", " a b", "ab  cd é", "..x..", "xxx " + "yy " * 100, "a1b22 c", "12", "aabaa"]
+    found = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", offsets(F.col("t"), pattern).alias("o")).collect()
+    assert {r.k: [tuple(x) for x in r.o] for r in found} == {k: [m.span() for m in regex.finditer(pattern, t) if m.group()] for k, t in enumerate(texts)}

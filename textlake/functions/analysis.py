@@ -179,20 +179,40 @@ class Analyzer:
         return out
 
 
-def offsets(text: Column, pattern: str) -> Column:
-    """``start, end`` of each match of ``pattern``, in characters from 0, end excluded."""
-    kind = "array<struct<start:int,end:int>>"
+#: Numbers that are added up at a time: appending to an array copies it, so a sum that runs over all of a text would take the square of its tokens.
+BLOCK = 32
 
-    def found(x: Column) -> Column:
-        def step(state: Column, m: Column) -> Column:
-            at = F.call_function("locate", m, x["text"], state["at"])
-            here = F.struct((at - 1).alias("start"), (at - 1 + F.length(m)).alias("end"))
-            return F.struct((at + F.length(m)).alias("at"), F.concat(state["out"], F.array(here)).alias("out"))
 
-        start = F.struct(F.lit(1).alias("at"), F.array().cast(kind).alias("out"))
-        return F.aggregate(F.filter(F.regexp_extract_all(x["text"], F.lit(pattern), F.lit(0)), lambda m: m != ""), start, step, lambda s: s["out"])
+def running_sums(numbers: Column) -> Column:
+    """For each number of an array of integers, the sum of those up to and with it: inside blocks, over blocks, then both."""
+
+    def sums(xs: Column) -> Column:
+        add = lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x))
+        return F.aggregate(xs, F.array().cast("array<int>"), add)
+
+    blocks = lambda xs: F.transform(F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), F.lit(BLOCK)), lambda k: F.slice(xs, k, BLOCK))
+    last = lambda own: F.transform(own, lambda x: F.coalesce(F.try_element_at(x, F.lit(-1)), F.lit(0)))
+    both = lambda own: F.array(F.struct(own.alias("own"), sums(last(own)).alias("upto")))
+    joined = lambda b: F.flatten(F.transform(b["own"], lambda own, k: F.transform(own, lambda x: x + F.when(k > 0, F.get(b["upto"], k - 1)).otherwise(0))))
+    let = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)  # noqa: E731  worked out once, not once for each block
+    return let(numbers, lambda xs: let(F.transform(blocks(xs), sums), lambda own: F.element_at(F.transform(both(own), joined), 1)))
+
 
-    return F.element_at(F.transform(F.array(F.struct(_text(text).alias("text"))), found), 1)
+def offsets(text: Column, pattern: str) -> Column:
+    """``start, end`` of each match of ``pattern``, in characters from 0, end excluded: sums of the lengths of gaps and matches.
+
+    (A pattern that can match nothing counts a character beyond U+FFFF twice if it matches nothing inside it.)"""
+
+    def found(x: Column) -> Column:
+        # A match of no characters that begins the text has no gap before it.
+        gap = lambda k: F.coalesce(F.length(F.get(x["gaps"], k + F.size(x["gaps"]) - F.size(x["matches"]) - 1)), F.lit(0))
+        steps = F.transform(x["matches"], lambda m, k: gap(k) + F.length(m))
+        places = lambda ends: F.zip_with(x["matches"], ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end")))
+        each = F.element_at(F.transform(F.array(running_sums(steps)), places), 1)
+        return F.filter(each, lambda p: p["start"] < p["end"])
+
+    both = F.struct(F.regexp_extract_all(_text(text), F.lit(pattern), F.lit(0)).alias("matches"), F.split(_text(text), pattern, -1).alias("gaps"))
+    return F.element_at(F.transform(F.array(both), found), 1)
 
 
 def token_stream(text: Column, analyzer: Analyzer) -> Column:

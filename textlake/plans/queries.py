@@ -553,7 +553,8 @@ _tokens("ascii_whitespace_tokens", A.Analyzer(A.ascii_whitespace), split_sql(r"[
     SELECT doc_id, lower(term) AS term, count(*) AS n, sum(s)::BIGINT AS starts, sum(s + length(term))::BIGINT AS ends FROM p GROUP BY ALL""",
 )
 def _(spark, d):
-    tokens = table(spark, d, "documents").select("doc_id", F.explode(A.token_stream(F.col(T), A.LETTERS)).alias("t"))
+    docs = table(spark, d, "documents").select("doc_id", T).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")  # texts move instead of their tokens
+    tokens = docs.select("doc_id", F.explode(A.token_stream(F.col(T), A.LETTERS)).alias("t"))
     return tokens.groupBy("doc_id", "t.term").agg(F.count(F.lit(1)).alias("n"), F.sum("t.start").alias("starts"), F.sum("t.end").alias("ends"))
 
 
