@@ -24,9 +24,10 @@ def norm_code(x: float) -> int:
 
 
 def decoded_norm(x: Column) -> Column:
-    """``x`` as it comes back from its byte. Values for the lengths of texts, ``x`` <= 1, take few comparisons."""
-    table = F.lit(NORM_VALUES[1:])
-    kept = F.coalesce(F.array_max(F.filter(table, lambda t: t <= x)), F.lit(NORM_VALUES[1]))
+    """``x`` as it comes back from its byte, found by halving: eight comparisons, and ``x`` is worked out once."""
+    table, halves = F.lit(NORM_VALUES), F.array(*[F.lit(1 << k) for k in range(7, -1, -1)])
+    code = lambda v: F.aggregate(halves, F.lit(0), lambda at, half: at + F.when(F.get(table, at + half) <= v, half).otherwise(0))
+    kept = F.element_at(F.transform(F.array(x), lambda v: F.get(table, F.greatest(code(v), F.lit(1)))), 1)
     return F.when(x <= 0, F.lit(0.0)).otherwise(kept)
 
 

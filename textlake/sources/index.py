@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.analysis import LETTERS, UNTOKENIZED, Analyzer, PerField
+from ..functions.analysis import LETTERS, MOST_BYTES, UNTOKENIZED, Analyzer, PerField
 from ..functions.scoring import Similarity, decoded_norm
 
 TABLES = ("docs", "postings", "terms", "lengths", "deletes")
@@ -215,15 +215,16 @@ def _dictionary(postings: DataFrame) -> DataFrame:
     return postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
-def tokens_of(docs: DataFrame, spec: IndexSpec, analyzer: PerField) -> DataFrame:
-    """doc_id, field, tokens for every indexed field; an array column has values, and positions go on across them."""
+def inverted_fields(docs: DataFrame, spec: IndexSpec, analyzer: PerField, similarity: Similarity) -> DataFrame:
+    """doc_id, field, len, norm, entries for every indexed field; an array column has values, and positions go on across them."""
     frames = []
     for name in [c for c in docs.columns if c not in ("doc_id", "doc_boost")]:
         how = spec.of(name)
         if not how.index:
             continue
         own: Analyzer = analyzer.of(name) if how.tokenized else UNTOKENIZED
-        if docs.schema[name].dataType.simpleString().startswith("array"):
+        several = docs.schema[name].dataType.simpleString().startswith("array")
+        if several:
             last = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1))["pos"] + 1, F.lit(0))
             shift = lambda acc, t: F.concat(acc, F.transform(t, lambda x: F.struct(x["term"].alias("term"), (x["pos"] + last(acc)).alias("pos"))))
             start = F.array().cast("array<struct<term:string,pos:int>>")
@@ -232,10 +233,27 @@ def tokens_of(docs: DataFrame, spec: IndexSpec, analyzer: PerField) -> DataFrame
             tokens = own(F.col(name))
         if spec.max_field_length is not None:
             tokens = F.slice(tokens, 1, spec.max_field_length + 1)
-        frames.append(docs.select("doc_id", F.lit(name).alias("field"), (F.col("doc_boost").cast("double") if "doc_boost" in docs.columns else F.lit(1.0)).alias("boost"), tokens.alias("tokens")))
+        whole = own is UNTOKENIZED and not several and spec.max_field_length is None
+        if whole:
+            counted = whole_value(F.col(name))
+        else:
+            counted = let(tokens, lambda t: F.struct(F.size(t).alias("len"), grouped_tokens(t).alias("entries")))  # tokens are worked out once
+        boost = F.col("doc_boost").cast("double") if "doc_boost" in docs.columns else F.lit(1.0)
+        many = F.lit(1) if whole else F.greatest(F.col("x.len"), F.lit(1))  # one token or none: the norm is a constant
+        norm = decoded_norm(similarity.length_norm(many) * F.lit(how.boost) * F.col("boost")) if how.norms else F.lit(0.0)
+        found = docs.select("doc_id", boost.alias("boost"), counted.alias("x"))
+        frames.append(found.select("doc_id", F.lit(name).alias("field"), F.col("x.len").cast("long").alias("len"), norm.alias("norm"), "x.entries"))
     return _union(frames)
 
 
+def whole_value(value: Column) -> Column:
+    """``len, entries`` of a value that is one token, or none if null: nothing to sort or group, so it stays in generated code."""
+    term = F.substring(value.cast("string"), 1, MOST_BYTES)
+    one = F.array(F.struct(term.alias("term"), F.array(F.lit(0)).alias("positions")))
+    none = F.array().cast("array<struct<term:string,positions:array<int>>>")
+    return F.struct(F.when(value.isNull(), 0).otherwise(1).alias("len"), F.when(value.isNull(), none).otherwise(one).alias("entries"))
+
+
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
     """``f(value)`` with ``value`` worked out once."""
     return F.element_at(F.transform(F.array(value), f), 1)
@@ -260,16 +278,7 @@ def build(docs: DataFrame, spec: IndexSpec | None = None, analyzer: PerField | N
     of analysing the texts once for each table.
     """
     spec, analyzer, similarity = spec or IndexSpec({}), analyzer or PerField(LETTERS), similarity or Similarity()
-    counted = let(F.col("tokens"), lambda t: F.struct(F.size(t).alias("len"), grouped_tokens(t).alias("entries")))  # tokens are worked out once
-    found = tokens_of(docs, spec, analyzer).select("doc_id", "field", "boost", counted.alias("x")).select("doc_id", "field", "boost", "x.len", "x.entries")
-    boost = F.lit(1.0)
-    for name in docs.columns:
-        if spec.of(name).boost != 1.0:
-            boost = F.when(F.col("field") == name, F.lit(spec.of(name).boost)).otherwise(boost)
-    norm = decoded_norm(similarity.length_norm(F.greatest(F.col("len"), F.lit(1))) * boost * F.col("boost"))
-    bare = [name for name in docs.columns if not spec.of(name).norms]
-    norm = F.when(F.col("field").isin(bare), F.lit(0.0)).otherwise(norm) if bare else norm
-    inverted = found.select("doc_id", "field", F.col("len").cast("long").alias("len"), norm.alias("norm"), "entries")
+    inverted = inverted_fields(docs, spec, analyzer, similarity)
     if scratch is not None:
         inverted.write.mode("overwrite").parquet(scratch)
         inverted = docs.sparkSession.read.parquet(scratch)
