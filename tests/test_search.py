@@ -300,3 +300,43 @@ def test_offsets_are_those_of_the_matches(spark, pattern):
     texts = ["", " a b", "ab  cd é", "..x..", "xxx " + "yy " * 100, "a1b22 c", "12", "aabaa"]
     found = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", offsets(F.col("t"), pattern).alias("o")).collect()
     assert {r.k: [tuple(x) for x in r.o] for r in found} == {k: [m.span() for m in regex.finditer(pattern, t) if m.group()] for k, t in enumerate(texts)}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_positions_of_phrases_and_spans_stay_in_arrays(index):
+    """Rows of single positions filled one task's memory; a phrase has a row for each posting."""
+    s = Searcher(index)
+    assert "explode(positions" not in plan_of(s.matches(Phrase.of("text", ("one", "two"), "two")))
+    assert "explode(positions" not in plan_of(s.matches(Phrase.of("text", "one", "two", slop=2)))
+    assert ids(s.matches(Phrase.of("text", ("start", "one"), ("finish", "two")))) == [0, 1, 2, 3, 4, 5]
+    assert "collect_list(positions" in plan_of(s.matches(SpanTerm.of("text", "one", "two")))  # distinct places are found in the document's row
+
+
+def test_highlights_read_positions_of_the_page_only(spark):
+    s = Searcher(build(from_records(spark, [{"text": t} for t in TEXTS])))
+    hits = s.search(Phrase.of("text", "one", "two"), limit=1).hits
+    plan = plan_of(s.highlight(Phrase.of("text", "one", "two"), "text", hits))
+    assert "LeftSemi" in plan and [list(r.excerpts) for r in s.highlight(Phrase.of("text", "one", "two"), "text", hits).collect()]
+
+
+def test_whole_values_are_inverted_without_sorting(spark):
+    rows = spark.createDataFrame([(1, "a b", 7), (2, None, None), (3, "", 0), (4, "x" * 300, 5)], "doc_id long, key string, n int")
+    plain = FieldSpec(tokenized=False, boost=2.0)
+    ix = build(rows, IndexSpec({"key": plain, "n": plain}))
+    assert "array_sort" not in plan_of(ix.postings) and "sort_array" not in plan_of(ix.postings)
+    slow = build(rows, IndexSpec({"key": plain, "n": plain}, max_field_length=9))
+    for name in ("postings", "lengths", "terms"):
+        assert sorted(map(str, getattr(ix, name).collect())) == sorted(map(str, getattr(slow, name).collect()))
+
+
+def test_postings_have_more_parts_as_they_grow(spark, tmp_path, monkeypatch):
+    """A task's sort is bounded by bytes, not by the session's number of partitions."""
+    from textlake.sources import index as source
+
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    monkeypatch.setattr(source, "PART_BYTES", 100_000, raising=False)
+    stored = build(rows, scratch=str(tmp_path / "inverted")).save(str(tmp_path / "index"))
+    assert len(stored.postings.inputFiles()) > 4

@@ -252,21 +252,26 @@ class Compiler:
         return kept.select("doc_id", score.alias("score"))
 
     def slots(self, q: Phrase) -> DataFrame:
-        """doc_id, slot, pos, norm of a phrase's terms, once for each slot that has the term."""
-        slots = F.lit(None)
-        for t in sorted({t for _, words in q.slots for t in words}):
-            places = F.array(*[F.lit(k) for k, (_, words) in enumerate(q.slots) if t in words])
-            slots = F.when(F.col("term") == t, places).otherwise(slots)
+        """doc_id, norm, lists (an array of positions for each slot) of the documents that have all slots of a phrase; a posting is one row, its positions stay together."""
         rows = self.index.postings.filter((F.col("field") == q.field) & F.col("term").isin(sorted({t for _, words in q.slots for t in words})))
-        return rows.select("doc_id", "norm", "positions", F.explode(slots).alias("slot")).select("doc_id", "norm", "slot", F.explode("positions").alias("pos"))
+        found = rows.groupBy("doc_id").agg(F.first("norm").alias("norm"), F.collect_list(F.struct("term", "positions")).alias("found"))
+        of = lambda words: F.flatten(F.filter("found", lambda x: x["term"].isin(sorted(set(words))))["positions"])
+        lists = F.array(*[of(words) for _, words in q.slots])
+        return found.select("doc_id", "norm", lists.alias("lists")).filter(F.forall("lists", lambda x: F.size(x) > 0))
+
+    def exact_begins(self, q: Phrase) -> DataFrame:
+        """doc_id, norm, begins (where an exact phrase begins) of documents that have it."""
+        offsets = [p - q.slots[0][0] for p, _ in q.slots]
+        moved = lambda by: lambda p: p - F.lit(by)
+        begins = F.array_distinct(F.element_at("lists", 1))
+        for k, shift in enumerate(offsets[1:], 2):
+            begins = F.array_intersect(begins, F.transform(F.element_at("lists", k), moved(shift)))
+        return self.slots(q).select("doc_id", "norm", begins.alias("begins")).filter(F.size("begins") > 0)
 
     def _phrase(self, q: Phrase) -> DataFrame:
         """doc_id, freq, norm of a phrase."""
-        offsets = F.lit([p - q.slots[0][0] for p, _ in q.slots])
-        rows = self.slots(q)
         if q.slop == 0:
-            begins = rows.groupBy("doc_id", (F.col("pos") - F.element_at(offsets, F.col("slot") + 1)).alias("begin")).agg(F.count_distinct("slot").alias("met"), F.first("norm").alias("norm"))
-            return begins.filter(F.col("met") == len(q.slots)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("freq"), F.first("norm").alias("norm"))
+            return self.exact_begins(q).select("doc_id", F.size("begins").cast("long").alias("freq"), "norm")
         freq = kernels.sloppy_freq(F.col("lists"), *self._loose(q), self.similarity.sloppy)
         return self._gathered(q).select("doc_id", "norm", freq.alias("freq")).filter("freq > 0")
 
@@ -285,19 +290,17 @@ class Compiler:
         return met.select("doc_id", F.explode(F.array_distinct(places).cast("array<int>")).alias("pos"))
 
     def _gathered(self, q: Phrase) -> DataFrame:
-        """doc_id, norm, lists (the positions of each slot) of documents that have all slots of a phrase."""
-        rows = self.slots(q)
-        gathered = [F.sort_array(F.collect_list(F.when(F.col("slot") == k, F.col("pos").cast("long")))) for k in range(len(q.slots))]
-        docs = rows.groupBy("doc_id").agg(F.first("norm").alias("norm"), F.array(*gathered).alias("lists"))
-        return docs.filter(F.forall("lists", lambda x: F.size(x) > 0))
+        """doc_id, norm, lists (the sorted positions of each slot) of documents that have all slots of a phrase."""
+        return self.slots(q).withColumn("lists", F.transform("lists", lambda x: F.sort_array(x.cast("array<bigint>"))))
 
     def spans(self, q: Span) -> DataFrame:
         """``doc_id, norm, start, end`` of a span query."""
         match q:
             case SpanTerm():
                 rows = self.index.postings.filter((F.col("field") == q.field) & F.col("term").isin(list(q.terms)))
+                if len(q.terms) > 1:  # tokens at one place are one span
+                    rows = rows.groupBy("doc_id").agg(F.first("norm").alias("norm"), F.collect_list("positions").alias("lists")).withColumn("positions", F.array_distinct(F.flatten("lists")))
                 each = rows.select("doc_id", "norm", F.explode("positions").alias("start"))
-                each = each if len(q.terms) == 1 else each.distinct()
                 return each.withColumn("end", F.col("start") + 1)
             case SpanFirst():
                 return self.spans(q.match).filter(F.col("end") <= q.end)

@@ -222,11 +222,10 @@ class Searcher:
             case Phrase() if q.field == field_:
                 if q.slop:
                     return [c.loose_places(q)]
-                rows = c.slots(q)
-                shift = F.element_at(F.lit([p - q.slots[0][0] for p, _ in q.slots]), F.col("slot") + 1)
-                rows = rows.withColumn("begin", F.col("pos") - shift)
-                whole = rows.groupBy("doc_id", "begin").agg(F.count_distinct("slot").alias("met")).filter(F.col("met") == len(q.slots))
-                return [rows.join(whole, ["doc_id", "begin"], "left_semi").select("doc_id", "pos")]
+                offsets = [p - q.slots[0][0] for p, _ in q.slots]
+                moved = lambda by: lambda b: b + F.lit(by)
+                places = F.concat(*[F.transform("begins", moved(shift)) for shift in offsets])
+                return [c.exact_begins(q).select("doc_id", F.explode(F.array_distinct(places)).alias("pos"))]
             case Span() if q.span_field == field_:
                 terms = sorted(t for _, t in c.terms_of(q))
                 rows = self.index.postings.filter((F.col("field") == field_) & F.col("term").isin(terms)).select(F.col("doc_id").alias("d"), F.explode("positions").alias("pos"))
@@ -246,7 +245,9 @@ class Searcher:
 
         several = self.index.docs.schema[field_].dataType.simpleString().startswith("array")
         text = F.array_join(field_, " ") if several else F.col(field_).cast("string")  # the values of an array follow one another
-        rows = hits.select("doc_id").join(self.index.docs.select("doc_id", text.alias("text")), "doc_id").join(self.match_positions(q, field_), "doc_id")
+        own = self.index.postings.join(hits.select("doc_id"), "doc_id", "left_semi")  # positions of the page only
+        positions = replace(self, index=replace(self.index, postings=own)).match_positions(q, field_)
+        rows = hits.select("doc_id").join(self.index.docs.select("doc_id", text.alias("text")), "doc_id").join(positions, "doc_id")
         return rows.select("doc_id", F.pandas_udf(show, ArrayType(StringType()))("text", "positions").alias("excerpts"))
 
 
