@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from ..functions.analysis import LETTERS, MOST_BYTES, UNTOKENIZED, Analyzer, PerField
 from ..functions.scoring import Similarity, decoded_norm
 
+#: Bytes of inverted documents, as stored, that a task sorts when an index is saved.
+PART_BYTES = 32 << 20
 TABLES = ("docs", "postings", "terms", "lengths", "deletes")
 
 
@@ -189,7 +191,8 @@ class SearchIndex:
     def save(self, path: str) -> SearchIndex:
         """Write all tables under ``path`` and return the stored index."""
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))  # said outright, so that few bytes are still sorted by all cores
+        # Said outright, so that few bytes are still sorted by all cores and a task's memory does not grow with the index.
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-bytes_read(self.postings) // PART_BYTES))
         self.postings.repartitionByRange(parts, "field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         self.terms.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/terms")
         for name in ("lengths", "deletes"):
@@ -204,6 +207,13 @@ def load(spark: SparkSession, path: str, analyzer: PerField) -> SearchIndex:
     return SearchIndex(spec, analyzer, *[spark.read.parquet(f"{path}/{t}") for t in TABLES])
 
 
+def bytes_read(df: DataFrame) -> int:
+    """Bytes of the files that a frame is made from; 0 where Spark does not know."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 62)
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
