@@ -340,3 +340,12 @@ def test_postings_have_more_parts_as_they_grow(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(source, "PART_BYTES", 100_000, raising=False)
     stored = build(rows, scratch=str(tmp_path / "inverted")).save(str(tmp_path / "index"))
     assert len(stored.postings.inputFiles()) > 4
+
+
+def test_halves_of_an_index_analyse_texts_once(spark):
+    from oracle import SMALL
+
+    from textlake import catalog
+    from textlake.plans import queries  # noqa: F401  fills the catalog
+
+    assert "regexp_extract_all" not in plan_of(catalog.QUERIES["multi_index_idf"](spark, SMALL))

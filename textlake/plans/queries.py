@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -441,7 +443,8 @@ def _(spark, d):
 @query("multi_index_idf", bool_sql([(SHOULD, "the"), (SHOULD, "of")]))
 def _(spark, d):
     docs, spec = table(spark, d, "documents").select("doc_id", T), IndexSpec({})
-    parts = [build(docs.filter(f"doc_id % 2 = {k}"), spec) for k in (0, 1)]
+    folder = f"{shared_folder(spark)}/textlake/halves-{uuid.uuid4().hex}"
+    parts = [build(docs.filter(f"doc_id % 2 = {k}"), spec, scratch=f"{folder}/{k}") for k in (0, 1)]  # texts are analysed once, not once for each table
     return rounded(Searcher(parts[0].merge(parts[1])).matches(_bool((SHOULD, "the"), (SHOULD, "of"))))
 
 
@@ -624,8 +627,6 @@ def _(spark, d):
 
 @query("streamed_index", bool_sql([(SHOULD, "the")]))
 def _(spark, d):
-    import uuid
-
     from ..streaming.ingest import SegmentedIndex
 
     rows = table(spark, d, "documents").select("doc_id", T)
