@@ -349,3 +349,33 @@ def test_halves_of_an_index_analyse_texts_once(spark):
     from textlake.plans import queries  # noqa: F401  fills the catalog
 
     assert "regexp_extract_all" not in plan_of(catalog.QUERIES["multi_index_idf"](spark, SMALL))
+
+
+ODD = ["", None, "one two One", "é" * 300 + " Straße ΟΔΟΣ Σ İx", "a1b2\U0001F600c \U00010400\U00010428", "\n\t .", "x", "the " * 70, "日本語 one"]
+
+
+def test_words_of_letters_are_inverted_as_built_in_functions_have_them(spark, tmp_path):
+    """Blocks of whole arrays against tokens made by built-in functions, which a limit on fields asks for; 40 rows of a term fill more than a block."""
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(ODD * 40)], "doc_id long, text string").coalesce(2)
+    rows = rows.union(spark.sql("SELECT 1000L, concat('two ', CAST(X'C3286FE4' AS STRING), ' one')"))
+    spec, slow = IndexSpec({"text": FieldSpec(boost=3.0)}), IndexSpec({"text": FieldSpec(boost=3.0)}, max_field_length=10**6)
+    fast = build(rows, spec)
+    assert "regexp_extract_all" not in plan_of(fast.postings) and "array_sort" not in plan_of(fast.postings)
+    stored = build(rows, spec, scratch=str(tmp_path / "blocks")).save(str(tmp_path / "index"))
+    for name in ("postings", "lengths", "terms", "docs"):
+        want = sorted(map(str, getattr(build(rows, slow), name).collect()))
+        assert sorted(map(str, getattr(fast, name).collect())) == want and sorted(map(str, getattr(stored, name).select(getattr(fast, name).columns).collect())) == want
+
+
+def test_blocks_of_small_parts(spark, monkeypatch):
+    """Parts of a batch split documents among blocks, not tokens of a document."""
+    import pyarrow as pa
+
+    from textlake.sources import invert
+
+    letters = invert.Letters.of(spark._jvm, True, 1.0)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(ODD))), "text": pa.array(ODD, pa.string())})
+    post = lambda: sorted((r["term"], e["doc_id"], e["norm"], e["positions"]) for b in invert.blocks(letters)(iter([batch, batch.slice(0, 0)])) for r in b.to_pylist() if r["term"] is not None for e in r["entries"])
+    whole = post()
+    monkeypatch.setattr(invert, "MOST_TOKENS", 2)
+    assert post() == whole and ("one", 2, 0.5, [0, 2]) in whole

@@ -3,7 +3,7 @@
 Tables: ``docs`` (doc_id, stored columns), ``postings`` (field, term, doc_id, tf, positions, norm), ``terms``
 (field, term, df, cf), ``lengths`` (doc_id, field, len, norm) and ``deletes`` (doc_id). Postings carry their document's norm, so
 scoring joins nothing. They are written by field and sorted by term: a query's terms are found by the
-statistics of row groups.
+statistics of row groups. What is shuffled and sorted for that are blocks of a term's documents.
 """
 
 from __future__ import annotations
@@ -17,10 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.analysis import LETTERS, MOST_BYTES, UNTOKENIZED, Analyzer, PerField
+from ..functions.analysis import LETTERS, MOST_BYTES, UNTOKENIZED, Analyzer, PerField, letters, lower
 from ..functions.scoring import Similarity, decoded_norm
+from . import invert
 
-#: Bytes of inverted documents, as stored, that a task sorts when an index is saved.
+#: Bytes of blocks, as stored, that a task sorts when an index is saved.
 PART_BYTES = 32 << 20
 TABLES = ("docs", "postings", "terms", "lengths", "deletes")
 
@@ -70,6 +71,9 @@ class SearchIndex:
     terms: DataFrame
     lengths: DataFrame
     deletes: DataFrame
+    #: What the postings are made from, and the documents' terms made without them, while both are those of ``postings``.
+    blocks: DataFrame | None = None
+    vectors: DataFrame | None = None
 
     # ---- reading
     @property
@@ -133,6 +137,8 @@ class SearchIndex:
 
     def term_vectors(self, field: str | None = None, doc_id: int | None = None) -> DataFrame:
         """doc_id, field, terms (array of term, freq, positions, in order of terms), of all documents or one."""
+        if doc_id is None and self.vectors is not None:
+            return self.vectors if field is None else self.vectors.filter(F.col("field") == field)
         found = self.postings if field is None else self.postings.filter(F.col("field") == field)
         found = found if doc_id is None else found.filter(F.col("doc_id") == doc_id)
         one = F.struct("term", F.col("tf").alias("freq"), "positions")
@@ -165,13 +171,13 @@ class SearchIndex:
         every = (self, *others)
         union = lambda name: _union([getattr(x, name) for x in every])
         terms = union("terms").groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
-        return replace(self, docs=union("docs"), postings=union("postings"), terms=terms, lengths=union("lengths"), deletes=union("deletes"))
+        return replace(self, blocks=None, vectors=None, docs=union("docs"), postings=union("postings"), terms=terms, lengths=union("lengths"), deletes=union("deletes"))
 
     def compact(self) -> SearchIndex:
         """Drop deleted documents for good and count frequencies anew."""
         alive = lambda df: df.join(self.deletes, "doc_id", "left_anti")
         postings = alive(self.postings)
-        return replace(self, docs=alive(self.docs), postings=postings, terms=_dictionary(postings), lengths=alive(self.lengths), deletes=self.deletes.limit(0))
+        return replace(self, blocks=None, vectors=None, docs=alive(self.docs), postings=postings, terms=_dictionary(postings), lengths=alive(self.lengths), deletes=self.deletes.limit(0))
 
     def set_boost(self, field: str, factor: Column) -> SearchIndex:
         """Multiply a field's norms by ``factor``, a column over docs; they pass through their bytes again."""
@@ -185,21 +191,27 @@ class SearchIndex:
         some = self.docs.select("doc_id", F.lit(field).alias("field"), by.cast("double").alias("_f"))
         new = F.when(F.col("_f").isNull(), F.col("norm")).otherwise(decoded_norm(change(F.col("norm"), F.col("_f"))))
         renorm = lambda df: df.join(some, ["doc_id", "field"], "left").withColumn("norm", new).drop("_f")
-        return replace(self, postings=renorm(self.postings), lengths=renorm(self.lengths))
+        return replace(self, blocks=None, postings=renorm(self.postings), lengths=renorm(self.lengths))
 
     # ---- storing
     def save(self, path: str) -> SearchIndex:
         """Write all tables under ``path`` and return the stored index."""
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        # Said outright, so that few bytes are still sorted by all cores and a task's memory does not grow with the index.
-        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-bytes_read(self.postings) // PART_BYTES))
-        self.postings.repartitionByRange(parts, "field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        self.sorted_postings().write.mode("overwrite").parquet(f"{path}/postings")
         self.terms.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/terms")
         for name in ("lengths", "deletes"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
         spec = self.spark.createDataFrame([(self.spec.to_json(),)], "spec string")
         spec.coalesce(1).write.mode("overwrite").text(f"{path}/spec")
-        return load(self.spark, path, self.analyzer)
+        return replace(load(self.spark, path, self.analyzer), vectors=self.vectors)
+
+    def sorted_postings(self) -> DataFrame:
+        """Postings by field and term; of blocks, which are fewer rows, where there are some: a block's documents stay together."""
+        rows = self.postings.withColumn("first", F.col("doc_id")) if self.blocks is None else self.blocks.select("field", "term", "first", "entries")
+        # Said outright, so that few bytes are still sorted by all cores and a task's memory does not grow with the index.
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-bytes_read(rows) // PART_BYTES))
+        dealt = rows.repartitionByRange(parts, "field", "term", "first").sortWithinPartitions("field", "term", "first")
+        return dealt.drop("first") if self.blocks is None else _posted(dealt)
 
 
 def load(spark: SparkSession, path: str, analyzer: PerField) -> SearchIndex:
@@ -226,8 +238,49 @@ def _dictionary(postings: DataFrame) -> DataFrame:
 
 
 def inverted_fields(docs: DataFrame, spec: IndexSpec, analyzer: PerField, similarity: Similarity) -> DataFrame:
-    """doc_id, field, len, norm, entries for every indexed field; an array column has values, and positions go on across them."""
+    """Blocks of every indexed field: field, term, df, cf, first (doc_id), entries (doc_id, norm, positions), lens (doc_id, len, norm).
+
+    A term has a row for some of its documents in a batch; lengths lie in rows of their own, without a term, or with whole values."""
     frames = []
+    for name, norm, tokens in _analyzed(docs, spec, analyzer, similarity):
+        ident, words = docs.schema["doc_id"].dataType.simpleString(), _letters(docs, name, spec, analyzer, similarity)
+        if words is None and tokens is None:
+            found = _whole_values(docs, name, norm)
+        else:
+            kinds = f"term string, df bigint, cf bigint, first {ident}, entries array<struct<doc_id:{ident},norm:double,positions:array<int>>>, lens array<struct<doc_id:{ident},len:bigint,norm:double>>"
+            rows = docs.select("doc_id", F.col(name).alias("text")) if words else docs.select("doc_id", _boost(docs), tokens.alias("tokens")).select("doc_id", norm.alias("norm"), "tokens")
+            found = rows.mapInArrow(invert.blocks(words), kinds)
+        frames.append(found.select(F.lit(name).alias("field"), "*"))
+    return _union(frames)
+
+
+def vectors_of(docs: DataFrame, spec: IndexSpec, analyzer: PerField, similarity: Similarity) -> DataFrame:
+    """doc_id, field, terms (term, freq, positions, in order of terms), each made in its document's task: nothing is shuffled."""
+    frames, ident = [], docs.schema["doc_id"].dataType.simpleString()
+    for name, _, tokens in _analyzed(docs, spec, analyzer, similarity):
+        words = _letters(docs, name, spec, analyzer, similarity)
+        rows = F.col(name).alias("text") if words else (UNTOKENIZED(F.col(name)) if tokens is None else tokens).alias("tokens")
+        found = docs.select("doc_id", rows).mapInArrow(invert.vectors(words), f"doc_id {ident}, terms array<struct<term:string,freq:bigint,positions:array<int>>>")
+        frames.append(found.select("doc_id", F.lit(name).alias("field"), "terms"))
+    return _union(frames)
+
+
+def _letters(docs: DataFrame, name: str, spec: IndexSpec, analyzer: PerField, similarity: Similarity) -> invert.Letters | None:
+    """How words of letters are found in whole texts without making their tokens first; None where something else is asked."""
+    how, own = spec.of(name), analyzer.of(name)
+    usual = type(similarity).length_norm is Similarity.length_norm and "doc_boost" not in docs.columns and spec.max_field_length is None
+    if usual and how.tokenized and docs.schema[name].dataType.simpleString() == "string" and own.tokenizer is letters and own.filters in ((), (lower,)):
+        return invert.Letters.of(docs.sparkSession._jvm, bool(own.filters), how.boost if how.norms else None)
+    return None
+
+
+def _boost(docs: DataFrame) -> Column:
+    return (F.col("doc_boost").cast("double") if "doc_boost" in docs.columns else F.lit(1.0)).alias("boost")
+
+
+def _analyzed(docs: DataFrame, spec: IndexSpec, analyzer: PerField, similarity: Similarity) -> list[tuple[str, Column, Column | None]]:
+    """name, norm (of boost and tokens) and tokens of every indexed field; of values that are one token, no tokens. An array column has values, and positions go on across them."""
+    out = []
     for name in [c for c in docs.columns if c not in ("doc_id", "doc_boost")]:
         how = spec.of(name)
         if not how.index:
@@ -244,59 +297,45 @@ def inverted_fields(docs: DataFrame, spec: IndexSpec, analyzer: PerField, simila
         if spec.max_field_length is not None:
             tokens = F.slice(tokens, 1, spec.max_field_length + 1)
         whole = own is UNTOKENIZED and not several and spec.max_field_length is None
-        if whole:
-            counted = whole_value(F.col(name))
-        else:
-            counted = let(tokens, lambda t: F.struct(F.size(t).alias("len"), grouped_tokens(t).alias("entries")))  # tokens are worked out once
-        boost = F.col("doc_boost").cast("double") if "doc_boost" in docs.columns else F.lit(1.0)
-        many = F.lit(1) if whole else F.greatest(F.col("x.len"), F.lit(1))  # one token or none: the norm is a constant
+        many = F.lit(1) if whole else F.greatest(F.size("tokens"), F.lit(1))  # one token or none: the norm is a constant
         norm = decoded_norm(similarity.length_norm(many) * F.lit(how.boost) * F.col("boost")) if how.norms else F.lit(0.0)
-        found = docs.select("doc_id", boost.alias("boost"), counted.alias("x"))
-        frames.append(found.select("doc_id", F.lit(name).alias("field"), F.col("x.len").cast("long").alias("len"), norm.alias("norm"), "x.entries"))
-    return _union(frames)
-
-
-def whole_value(value: Column) -> Column:
-    """``len, entries`` of a value that is one token, or none if null: nothing to sort or group, so it stays in generated code."""
-    term = F.substring(value.cast("string"), 1, MOST_BYTES)
-    one = F.array(F.struct(term.alias("term"), F.array(F.lit(0)).alias("positions")))
-    none = F.array().cast("array<struct<term:string,positions:array<int>>>")
-    return F.struct(F.when(value.isNull(), 0).otherwise(1).alias("len"), F.when(value.isNull(), none).otherwise(one).alias("entries"))
-
-
-def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """``f(value)`` with ``value`` worked out once."""
-    return F.element_at(F.transform(F.array(value), f), 1)
+        out.append((name, norm, None if whole else tokens))
+    return out
 
 
-def grouped_tokens(tokens: Column) -> Column:
-    """An array of ``term, positions`` of an array of tokens, in order of terms: sorted and cut where the term changes."""
-    term = lambda s, i: F.get(s, i)["term"]
-    begins = lambda s: F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (term(s, i - 1) != x["term"]), i)), lambda i: i.isNotNull())
+def _whole_values(docs: DataFrame, name: str, norm: Column) -> DataFrame:
+    """The blocks of values that are one token, or none if null: nothing to sort or group, so it stays in generated code."""
+    term = F.substring(F.col(name).cast("string"), 1, MOST_BYTES)
+    one = docs.select("doc_id", _boost(docs), term.alias("term")).filter("term IS NOT NULL").select("doc_id", "term", norm.alias("norm"))
+    entry = F.struct("doc_id", "norm", F.array(F.lit(0)).alias("positions"))
+    length = F.struct("doc_id", F.lit(1).cast("bigint").alias("len"), "norm")
+    return one.select("term", F.lit(1).cast("bigint").alias("df"), F.lit(1).cast("bigint").alias("cf"), F.col("doc_id").alias("first"), F.array(entry).alias("entries"), F.array(length).alias("lens"))
 
-    def runs(s: Column) -> Column:
-        return let(begins(s), lambda at: F.transform(at, lambda b, k: F.struct(term(s, b).alias("term"), F.slice(s, b + 1, F.coalesce(F.get(at, k + 1), F.size(s)) - b)["pos"].alias("positions"))))
 
-    return let(F.sort_array(F.transform(tokens, lambda t: F.struct(t["term"].alias("term"), t["pos"].alias("pos")))), runs)
+def _posted(blocks: DataFrame) -> DataFrame:
+    """The postings of blocks, in the order of blocks."""
+    each = blocks.select("field", "term", F.explode("entries").alias("e"))
+    return each.select("field", "term", "e.doc_id", F.size("e.positions").cast("long").alias("tf"), "e.positions", "e.norm")
 
 
 def build(docs: DataFrame, spec: IndexSpec | None = None, analyzer: PerField | None = None, similarity: Similarity | None = None, scratch: str | None = None) -> SearchIndex:
     """Index ``docs``: ``doc_id``, an optional ``doc_boost``, and fields.
 
-    A document's tokens are sorted and grouped in its own row, so making postings moves nothing. With ``scratch``,
-    a folder, the inverted documents are written there, and all tables derive from what was written instead
+    Tokens are sorted and grouped in blocks of documents of a task, so making postings moves nothing. With ``scratch``,
+    a folder, the blocks are written there, and all tables derive from what was written instead
     of analysing the texts once for each table.
     """
     spec, analyzer, similarity = spec or IndexSpec({}), analyzer or PerField(LETTERS), similarity or Similarity()
-    inverted = inverted_fields(docs, spec, analyzer, similarity)
+    blocks = inverted_fields(docs, spec, analyzer, similarity)
     if scratch is not None:
-        inverted.write.mode("overwrite").parquet(scratch)
-        inverted = docs.sparkSession.read.parquet(scratch)
-    inverted = inverted.filter("len > 0")
-    each = inverted.select("doc_id", "field", "norm", F.explode("entries").alias("e"))
-    postings = each.select("field", F.col("e.term").alias("term"), "doc_id", F.size("e.positions").cast("long").alias("tf"), F.col("e.positions").alias("positions"), "norm")
+        blocks.write.mode("overwrite").parquet(scratch)
+        blocks = docs.sparkSession.read.parquet(scratch)
+    lengths = blocks.filter("lens IS NOT NULL").select("field", F.explode("lens").alias("x")).select("x.doc_id", "field", "x.len", "x.norm")
+    blocks = blocks.filter("term IS NOT NULL")
+    terms = blocks.groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
     stored = docs.select("doc_id", *[c for c in docs.columns if c not in ("doc_id", "doc_boost") and spec.of(c).store])
-    return SearchIndex(spec, analyzer, stored, postings, _dictionary(postings), inverted.select("doc_id", "field", "len", "norm"), docs.select("doc_id").limit(0))
+    vectors = vectors_of(docs, spec, analyzer, similarity)
+    return SearchIndex(spec, analyzer, stored, _posted(blocks), terms, lengths, docs.select("doc_id").limit(0), blocks, vectors)
 
 
 def from_records(spark: SparkSession, records: list, schema: str | None = None, input_field: str = "content") -> DataFrame:
