@@ -379,3 +379,15 @@ def test_blocks_of_small_parts(spark, monkeypatch):
     whole = post()
     monkeypatch.setattr(invert, "MOST_TOKENS", 2)
     assert post() == whole and ("one", 2, 0.5, [0, 2]) in whole
+
+
+def test_term_vectors_shuffle_nothing(spark):
+    from oracle import SMALL
+
+    from textlake import catalog
+    from textlake.plans import queries  # noqa: F401  fills the catalog
+
+    assert "Exchange" not in plan_of(catalog.QUERIES["term_vectors"](spark, SMALL))
+    ix = build(spark.createDataFrame([(k, t) for k, t in enumerate(ODD)], "doc_id long, text string"))
+    both = ix.merge(build(spark.range(0).selectExpr("id AS doc_id", "'' AS text")))  # a merged index makes them from postings
+    assert both.vectors is None and sorted(map(str, both.term_vectors().collect())) == sorted(map(str, ix.term_vectors().collect()))

@@ -123,7 +123,8 @@ def _(spark, d):
 
 @query("term_vectors", f"WITH {base()} SELECT doc_id, md5(string_agg(term || ':' || tf, ' ' ORDER BY term)) AS vector, count(*) AS n_terms FROM post GROUP BY 1")
 def _(spark, d):
-    v = documents(spark, d).term_vectors(T)
+    ix = build(table(spark, d, "documents").select("doc_id", T), IndexSpec({}), A.PerField(A.LETTERS))  # vectors need no stored postings
+    v = ix.term_vectors(T)
     one = F.transform("terms", lambda t: F.concat(t["term"], F.lit(":"), t["freq"].cast("string")))
     return v.select("doc_id", F.md5(F.array_join(one, " ").cast("binary")).alias("vector"), F.size("terms").cast("long").alias("n_terms"))
 
