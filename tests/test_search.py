@@ -391,3 +391,17 @@ def test_term_vectors_shuffle_nothing(spark):
     ix = build(spark.createDataFrame([(k, t) for k, t in enumerate(ODD)], "doc_id long, text string"))
     both = ix.merge(build(spark.range(0).selectExpr("id AS doc_id", "'' AS text")))  # a merged index makes them from postings
     assert both.vectors is None and sorted(map(str, both.term_vectors().collect())) == sorted(map(str, ix.term_vectors().collect()))
+
+
+def test_strings_are_mapped_by_built_in_functions(spark):
+    import re
+
+    from textlake.functions import analysis as A
+
+    words = ["thing", "singing", "abcab", "aab", "a.$", "\U0001F600aé", "", "th" * 200]
+    rows = spark.createDataFrame([(w,) for w in words], "w string")
+    for table in ({"th": "z", "ing": "in"}, {"a": "b", "b": "aa"}, {"ab": "x", "bc": "y", "abc": "", "c": "ab"}, {".": "dot", "$": "éé"}, {"\U0001F600a": "q", "é": "a"}):
+        out = rows.select("w", A.mapping(table)(F.array(F.struct(F.col("w").alias("term"), F.lit(0).alias("pos")))).alias("t"))
+        assert "Python" not in plan_of(out)
+        pattern = re.compile("|".join(re.escape(k) for k in sorted(table, key=len, reverse=True)))
+        assert {r.w: r.t[0].term for r in out.collect()} == {w: pattern.sub(lambda m, table=table: table[m.group()], w)[:255] for w in words}

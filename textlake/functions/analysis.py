@@ -1,7 +1,7 @@
 """Text analysis: from a text column to an array of ``(term, pos)``.
 
-Tokenizers yield terms in order; filters change terms and positions. All but the standard tokenizer,
-stemming and maps of several characters are built-in functions, so analysis stays in generated code.
+Tokenizers yield terms in order; filters change terms and positions. All but the standard tokenizer
+and stemming are built-in functions.
 """
 
 from __future__ import annotations
@@ -121,16 +121,36 @@ def stop(words: Sequence[str]) -> Callable[[Column], Column]:
 
 
 def mapping(table: dict[str, str]) -> Callable[[Column], Column]:
-    """Replace strings in terms, the longest at each place: single characters by a built-in, others by one pass of a regexp."""
+    """Replace strings in terms, the longest at each place: by built-ins, with ``replaced_strings`` where strings are longer than a character."""
     if all(len(k) == 1 and len(v) == 1 for k, v in table.items()):
         a, b = "".join(table), "".join(table.values())
         return lambda tokens: F.transform(tokens, lambda t: F.struct(F.translate(t["term"], a, b).alias("term"), t["pos"].alias("pos")))
-    pattern = re.compile("|".join(re.escape(k) for k in sorted(table, key=len, reverse=True)))
+    return lambda tokens: F.transform(tokens, lambda t: F.struct(F.substring(replaced_strings(t["term"], table), 1, MOST_BYTES).alias("term"), t["pos"].alias("pos")))
 
-    def replaced(terms: pd.Series) -> pd.Series:
-        return terms.map(lambda ts: [pattern.sub(lambda m: table[m.group()], t)[:MOST_BYTES] for t in ts])
 
-    return lambda tokens: _by_terms(_strings(replaced))(tokens)
+def replaced_strings(term: Column, table: dict[str, str]) -> Column:
+    """``term`` with the strings of ``table`` replaced in one pass, the longest at each place."""
+    keys = sorted(table, key=len, reverse=True)
+    if _apart(keys, table):
+        for k in keys:
+            term = F.replace(term, F.lit(k), F.lit(table[k]))
+        return term
+    # Every character that begins no match is a match of its own, and stays.
+    pattern = "(?s)" + "|".join([*(_quoted(k) for k in keys), "."])
+    known = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    return F.array_join(F.transform(F.regexp_extract_all(term, F.lit(pattern), F.lit(0)), lambda m: F.coalesce(F.try_element_at(known, m), m)), "")
+
+
+def _quoted(text: str) -> str:
+    """A Java pattern of a text: its code points, so that nothing in it is a sign."""
+    return "".join(f"\\x{{{ord(c):x}}}" for c in text)
+
+
+def _apart(keys: list[str], table: dict[str, str]) -> bool:
+    """Whether replacing ``keys`` one after another is the same as one pass: none meets another, nor what was put before it."""
+    meets = lambda a, b: a in b or b in a or any(a.endswith(b[:n]) or b.endswith(a[:n]) for n in range(1, min(len(a), len(b))))
+    pairs = [(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :]]
+    return all(keys) and not any(meets(a, b) or not table[a] or set(table[a]) & set(b) for a, b in pairs)
 
 
 def _by_terms(f) -> Callable[[Column], Column]:
