@@ -405,3 +405,16 @@ def test_strings_are_mapped_by_built_in_functions(spark):
         assert "Python" not in plan_of(out)
         pattern = re.compile("|".join(re.escape(k) for k in sorted(table, key=len, reverse=True)))
         assert {r.w: r.t[0].term for r in out.collect()} == {w: pattern.sub(lambda m, table=table: table[m.group()], w)[:255] for w in words}
+
+
+def test_standard_tokens_are_python_objects_only_in_chunks(monkeypatch):
+    import pyarrow as pa
+
+    from textlake.functions import analysis as A
+
+    met = []
+    monkeypatch.setattr(A, "standard_tokens", lambda t: standard_tokens(t)[: met.append(t)])
+    monkeypatch.setattr(A, "CHUNK_CHARS", 10, raising=False)
+    texts = ["isn't it", "", None, "a" * 50, "U.S.A. b@c.de", "x"]
+    assert A._standard(pa.array(texts)).to_pylist() == [[w for w, _, _ in standard_tokens(t)] for t in texts] and met == texts
+    assert A._standard(pa.array([], pa.string())).to_pylist() == []

@@ -11,7 +11,10 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -92,8 +95,15 @@ def standard_tokens(text: str | None) -> list[tuple[str, int, int]]:
     return out
 
 
-def _standard(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: [x[0] for x in standard_tokens(t)])
+#: Characters of texts whose tokens are Python objects at a time, if not of one text; those of others are in Arrow's buffers.
+CHUNK_CHARS = 1 << 18
+
+
+def _standard(text: pa.Array) -> pa.Array:
+    upto = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(upto // CHUNK_CHARS)) + 1).tolist(), len(text)]
+    kind, chunk = pa.list_(pa.string()), lambda a, b: [[x[0] for x in standard_tokens(t)] for t in text[a:b].to_pylist()]
+    return pa.concat_arrays([pa.array(chunk(a, b), kind) for a, b in zip(cuts, cuts[1:], strict=False)])
 
 
 def _porter(terms: pd.Series) -> pd.Series:
@@ -107,7 +117,7 @@ def _strings(f: Callable[[pd.Series], pd.Series]) -> Callable[[Column], Column]:
 
 def standard(text: Column) -> Column:
     """E-mail addresses, URLs, acronyms, compounds, contractions, companies and numbers are single tokens."""
-    return _placed(_strings(_standard)(_text(text)))
+    return _placed(F.arrow_udf(_standard, ArrayType(StringType()))(_text(text)))
 
 
 def lower(tokens: Column) -> Column:
