@@ -393,6 +393,19 @@ def test_term_vectors_shuffle_nothing(spark):
     assert both.vectors is None and sorted(map(str, both.term_vectors().collect())) == sorted(map(str, ix.term_vectors().collect()))
 
 
+def test_a_segment_is_made_of_blocks(spark, tmp_path, monkeypatch):
+    """A stream's segment has as many parts as its bytes ask for, like an index that is saved."""
+    from textlake.sources import index as source
+    from textlake.streaming.ingest import SegmentedIndex
+
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    monkeypatch.setattr(source, "PART_BYTES", 100_000)
+    ix = SegmentedIndex(str(tmp_path), IndexSpec({}), PerField(LETTERS))
+    ix.write_batch(rows, 0)
+    found = ix.open(spark).postings
+    assert len(found.inputFiles()) > 4 and found.count() == build(rows).postings.count()
+
+
 def test_strings_are_mapped_by_built_in_functions(spark):
     import re
 

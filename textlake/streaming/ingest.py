@@ -11,8 +11,6 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.analysis import PerField
 from ..sources.index import TABLES, IndexSpec, SearchIndex, build
 
-ORDER = {"postings": ("field", "term", "doc_id"), "terms": ("field", "term")}
-
 
 @dataclass(frozen=True)
 class SegmentedIndex:
@@ -27,8 +25,10 @@ class SegmentedIndex:
         for name in TABLES:
             if name != "deletes":
                 table = getattr(segment, name)
-                if name in ORDER:  # a segment is sorted like an index
-                    table = table.repartitionByRange(*ORDER[name]).sortWithinPartitions(*ORDER[name])
+                if name == "postings":  # a segment is sorted like an index
+                    table = segment.sorted_postings()
+                elif name == "terms":
+                    table = table.repartitionByRange("field", "term").sortWithinPartitions("field", "term")
                 table.write.mode("overwrite").parquet(f"{self.path}/{name}/segment={batch}")
 
     def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
